@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import quality
+from shelf.llm import planes, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
+    "op8_planes": planes.op8_planes,
 }
 
 #: SQL for those queries that SQL can express over whole tables; the others have
