@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import planes, quality
+from shelf.llm import mixing, planes, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sharding": sharding.op4_sharding,
     "op6_quality": quality.op6_quality,
     "op8_planes": planes.op8_planes,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 #: SQL for those queries that SQL can express over whole tables; the others have
