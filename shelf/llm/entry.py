@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import mixing, neardup, planes, quality, sharding
+from shelf.llm import decontam, mixing, neardup, planes, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": neardup.op3_neardup,
     "op4_sharding": sharding.op4_sharding,
     "op6_quality": quality.op6_quality,
+    "op7_decontam": decontam.op7_decontam,
     "op8_planes": planes.op8_planes,
     "op10_mixing": mixing.op10_mixing,
 }
