@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import decontam, mixing, neardup, planes, quality, sharding
+from shelf.llm import decontam, mixing, neardup, planes, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": neardup.op3_neardup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_decontam": decontam.op7_decontam,
     "op8_planes": planes.op8_planes,
+    "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 
