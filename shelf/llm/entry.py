@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import decontam, mixing, neardup, planes, quality, secrets, sharding
+from shelf.llm import decontam, media, mixing, neardup, planes, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": media.op2_media,
     "op3_neardup": neardup.op3_neardup,
     "op4_sharding": sharding.op4_sharding,
     "op6_quality": quality.op6_quality,
