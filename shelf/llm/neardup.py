@@ -6,11 +6,11 @@ placement (Dahlgaard, Knudsen and Thorup): in round i < t every element falls in
 bins; round t + j puts all elements into bin j, so each coordinate is filled after 2t rounds
 at most; a bin keeps the least value of the first round that reached it.
 
-Links are settled without spelling out the pairs of a bucket. In a few rounds each
-representative is checked against the bucket leaders it shares most bands with, on full
-sets, and links are united. What remains are buckets whose members lie in more than one
-component; every pair across components there is examined in blocks of bounded size, and
-pairs that share too few bands to reach the threshold are passed over.
+Links are settled without spelling out the pairs of a bucket. First each representative is
+checked against the bucket leaders it shares most bands with, on full sets, and links are
+united. Buckets whose members still lie in several components are then examined in blocks
+of bounded size: pairs that share enough bands tie their members into clusters, and within
+a cluster every pair across components is compared on full sets, again block by block.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from shelf.llm.graph import components
 BANDS, ROWS = 40, 5
 #: Accepted chance that a pair right at the threshold shares too few bands.
 RISK = 1e-5
-#: Rounds with bucket leaders, and leaders checked for each document in a round.
-LEADER_ROUNDS, LEADERS = 3, 2
-#: Members of a bucket that are compared in one block.
+#: Bucket leaders that each document is checked against.
+LEADERS = 2
+#: Members of a bucket or cluster that are compared in one block.
 BLOCK = 1024
 
 _T = BANDS * ROWS
@@ -144,13 +144,13 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def leaders(buckets: DataFrame, turn: int, least: int) -> DataFrame:
+def leaders(buckets: DataFrame, least: int) -> DataFrame:
     """Pairs of a representative and the leaders of buckets that hold several components.
 
-    The leader of a bucket is drawn by a mask that depends on bucket and turn. Aggregation
+    The leader of a bucket is drawn by a mask that depends on the bucket. Aggregation
     precedes every join, so a large bucket costs one row for each member and band.
     """
-    mask = F.xxhash64("bh", F.lit(turn))
+    mask = F.xxhash64("bh")
     drawn = F.col("rep").bitwiseXOR(mask)
     heads = (
         buckets.groupBy("bh")
@@ -163,69 +163,143 @@ def leaders(buckets: DataFrame, turn: int, least: int) -> DataFrame:
     return chosen.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
 
-def cross_pairs(buckets: DataFrame, marks: DataFrame, least: int, percent: int) -> DataFrame:
-    """All pairs ``(a, b)`` across components that share a bucket and ``least`` bands.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first columns, over batches sorted by these."""
+    group: list[tuple] = []
+    for batch in batches:
+        columns = [texts_of(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if group and row[:keys] != group[0][:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
 
-    ``buckets``: ``bh, rep, n, c``; ``marks``: ``rep, n, marks`` with 32 bits of every band
-    hash. A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of
-    blocks is one group; a pair is named in the first band that it shares.
+
+def _in_blocks(rows: DataFrame, key: str, member: str, size: str) -> DataFrame:
+    """Deal each group out as pairs of blocks ``(i, j)`` of about ``BLOCK`` members.
+
+    ``size`` holds the group's count; ``own`` is a member's block. A group of one block is
+    one pair; the rows come sorted by group and pair.
+    """
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(member), blocks).cast("int")
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return spread.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those pairs that join two trees: as many as it takes to connect what is connected."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def candidate_clusters(ws: Workspace, buckets: DataFrame, marks: DataFrame, least: int, percent: int) -> DataFrame:
+    """``node, cluster``: candidates that still need checking, in clusters that hold all of
+    a candidate's partners.
+
+    A candidate pair lies in two components, shares a bucket and ``least`` bands, and has
+    sizes that allow the threshold. ``buckets``: ``bh, rep, c``; ``marks``: ``rep, n,
+    marks`` with 32 bits of every band hash. A bucket yields no more than a spanning forest
+    of its pairs.
     """
     mixed = buckets.groupBy("bh").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bh", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = (
-        buckets.join(mixed, "bh")
-        .join(marks, ["rep", "n"])
-        .select("bh", "rep", "n", "c", "marks", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "marks")
-    )
-    keys = ["bh", "i", "j"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rep")
+    rows = _in_blocks(buckets.join(mixed, "bh").join(marks, "rep"), "bh", "rep", "m").select("bh", "i", "j", "own", "rep", "n", "c", "marks")
 
     def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        side = np.array([g[3] for g in group])
-        rep, n, c = (np.array([g[k] for g in group]) for k in (4, 5, 6))
+        side, rep, n, c = (np.array([g[k] for g in group]) for k in (3, 4, 5, 6))
         seen = np.array([np.frombuffer(g[7], np.uint32) for g in group])
-        band = int(np.flatnonzero((seen == seen[0]).all(0))[0]) if len(group) > 1 else 0
         names, index, count = np.unique(c, return_inverse=True, return_counts=True)
         main = index == count.argmax()
-        two_blocks = group[0][1] != group[0][2]
+        later = np.arange(len(rep))
         for x in np.flatnonzero(~main):
-            ok = main | (np.arange(len(rep)) > x)
-            ok &= (c != c[x]) & (rep != rep[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            if two_blocks:
+            ok = (main | (later > x)) & (c != c[x]) & (rep != rep[x])
+            ok &= 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
+            if group[0][1] != group[0][2]:
                 ok &= side != side[x]
             at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            same = seen[at] == seen[x]
-            at = at[(same.sum(1) >= least) & (same.argmax(1) == band)]
-            for y in at:
-                yield min(rep[x], rep[y]), max(rep[x], rep[y])
+            for y in at[(seen[at] == seen[x]).sum(1) >= least]:
+                yield rep[x], rep[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        for group in _grouped(batches, 3):
+            if len(group) > 1 and (found := _forest(pairs_of(group))):
+                yield _edges(found)
 
-        def flush(found: list) -> None:
-            if len(group) > 1:
-                found.extend(pairs_of(group))
-            group.clear()
+    edges = ws.save(rows.mapInArrow(run, "a long, b long"), "candidates")
+    return components(ws, edges, "a", "b", "clusters").withColumnRenamed("component", "cluster")
 
-        def out(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            found: list = []
-            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    flush(found)
-                group.append(row)
-            yield out(found)
-        found = []
-        flush(found)
-        yield out(found)
+def verify_clusters(ws: Workspace, clusters: DataFrame, united: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect what the full sets of each cluster connect.
+
+    Every pair of a cluster that lies in two components is compared on whole sets, block
+    against block: shared sizes are products of the blocks' incidence matrices over the
+    shingles that occur on both sides. Only a spanning forest of the links is returned.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    state = clusters.join(united, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c"))
+    rows = state.join(sizes, "cluster").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    dealt = _in_blocks(rows, "cluster", "node", "m").select("cluster", "i", "j", "own", "node", "c", "text")
+
+    def links_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [shingle_set(g[6], words) for g in group]
+        node, c, n = np.array([g[4] for g in group]), np.array([g[5] for g in group]), np.array([len(s) for s in sets])
+        left = np.array([g[3] == g[1] for g in group])
+        right = ~left if group[0][1] != group[0][2] else left
+        token, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        kept = count[index] > 1
+        renumber = np.cumsum(count > 1) - 1
+        owner, index = owner[kept], renumber[index[kept]]
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        for rows_at in range(0, len(a), 256):
+            some = a[rows_at : rows_at + 256]
+            if (c[some][:, None] == c[b][None, :]).all():
+                continue
+            both = np.zeros((len(some), len(b)), np.float32)
+            for at in range(0, int((count > 1).sum()), 4096):
+                inside = (index >= at) & (index < at + 4096)
+                cells = np.zeros((len(sets), 4096), np.float32)
+                cells[owner[inside], index[inside] - at] = 1.0
+                both += cells[some] @ cells[b].T
+            union = n[some][:, None] + n[b][None, :] - both
+            good = (100 * both >= percent * union) & (c[some][:, None] != c[b][None, :])
+            for x, y in zip(*np.nonzero(good), strict=True):
+                yield node[some[x]], node[b[y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 3):
+            if len(group) > 1 and (found := _forest(links_of(group))):
+                yield _edges(found)
+
+    return ws.save(dealt.mapInArrow(run, "a long, b long"), "links-clusters")
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def repeated_ids(ws: Workspace, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the classes of rows that repeat a doc_id with another text."""
+    spans = known.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
+    members = ws.save(known.join(spans, "doc_id").join(classes, ["d1", "d2"]).select("doc_id", "rep"), "repeated")
+    least = members.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return ws.save(members.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links-ids")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -243,32 +317,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = ws.save(sketches(docs, words), "sketches")
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = ws.save(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = ws.save(known.join(classes, ["d1", "d2"]).select("doc_id", "rep"), "members")
     reps = known.join(classes, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["d1", "d2"]).select("rep", F.col("n_shingles").alias("n"), "bands")
     reps = ws.save(reps, "reps")
 
-    spread = reps.select("rep", "n", F.explode("bands").alias("bh"))
+    spread = reps.select("rep", F.explode("bands").alias("bh"))
     shared = spread.groupBy("bh").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bh")
     buckets = ws.save(spread.join(shared, "bh"), "buckets")
     busy = buckets.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select(F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     texts = ws.save(texts.join(busy, "doc_id", "left_semi"), "texts")
 
-    again = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    links = ws.save(members.join(again, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links-id")
-    united = components(ws, links, "a", "b", "cc-id")
-    for turn in range(LEADER_ROUNDS + 1):
-        state = buckets.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        if turn < LEADER_ROUNDS:
-            pairs = leaders(state, turn, least)
-        else:
-            bits = F.transform("bands", lambda x: F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))))
-            marks = reps.select("rep", "n", F.unhex(F.array_join(F.transform(bits, lambda h: F.lpad(h, 8, "0")), "")).alias("marks"))
-            pairs = cross_pairs(state, marks, least, percent)
-        pairs = ws.save(pairs, f"pairs-{turn}")
-        found = ws.save(verify(pairs, texts, words, percent), f"links-{turn}")
-        links = links.unionByName(found)
-        united = components(ws, links, "a", "b", f"cc-{turn}")
+    links = repeated_ids(ws, known, classes)
+    united = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    state = buckets.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("component", "rep").alias("c"))
+    pairs = ws.save(leaders(state, least), "pairs")
+    links = links.unionByName(ws.save(verify(pairs, texts, words, percent), "links-leaders"))
+    united = components(ws, links, "a", "b", "leaders")
+    state = buckets.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("component", "rep").alias("c"))
+    bits = F.transform("bands", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    marks = reps.select("rep", "n", F.unhex(F.array_join(bits, "")).alias("marks"))
+    clusters = candidate_clusters(ws, state, marks, least, percent)
+    links = links.unionByName(verify_clusters(ws, clusters, united, texts, words, percent))
+    united = components(ws, links, "a", "b", "all")
 
     of_class = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(of_class, ["d1", "d2"], "left")
