@@ -173,6 +173,13 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: f
     )
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that hold no test item; rows with a null doc_id stay."""
+    ws = Workspace(docs.sparkSession, "decontaminated")
+    found = ws.save(contaminated(docs, items, k, threshold).select("doc_id").distinct(), "found")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")

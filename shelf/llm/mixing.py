@@ -32,11 +32,15 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.05), F.exp(-F.abs(F.log(per_word / 6.0)))))
 
 
+def _unit(mark: Column) -> Column:
+    """Uniform variate between 0 and 1 of a document, from its id and text."""
+    return (F.shiftrightunsigned(F.xxhash64("doc_id", mark, F.lit(SEED)), 12).cast("double") + 0.5) / float(1 << 52)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     size = word_count(F.col("text"))
     mark = F.xxhash64("text")
-    unit = (F.shiftrightunsigned(F.xxhash64("doc_id", mark, F.lit(SEED)), 12).cast("double") + 0.5) / float(1 << 52)
-    rows = docs.select("doc_id", "source", size.alias("size"), mark.alias("mark"), "text", unit.alias("unit"))
+    rows = docs.select("doc_id", "source", size.alias("size"), mark.alias("mark"), "text", _unit(mark).alias("unit"))
     rows = rows.withColumn("weight", quality_weight(F.col("text"), F.col("size")))
     return rows.select("doc_id", "source", "size", "mark", "weight", (-F.log("unit") / F.col("weight")).alias("key"))
 
@@ -71,6 +75,34 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     return each.select("sid", "source", "source_size", target.alias("target"), "docs", "mean_weight")
 
 
+def _shares(docs: DataFrame, weights: tuple[int, ...], epochs: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with what the mix takes of each, and the table of sources."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    rows = ws.save(_keyed(docs), "rows")
+    sources = ws.save(targets(rows, weights, epochs), "sources")
+    return _taken(rows, sources), sources
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """The mix itself: every row of ``docs`` as many times as the mix takes it.
+
+    A source's epochs and the largest key that it takes once more decide for each row by
+    itself, so texts are neither joined by id nor shuffled. The document at the edge of a
+    budget is taken if at least half of it fits. Columns stay as they are.
+    """
+    taken, sources = _shares(docs, weights, epochs)
+    more = (F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))
+    edge = taken.groupBy("sid").agg(F.max("whole").alias("_whole"), F.max(F.when(more, F.col("key"))).alias("_edge"))
+    table = Workspace(docs.sparkSession, "mixing").save(sources.select("sid", F.col("source").alias("_source")).join(edge, "sid").drop("sid"), "edges")
+    size = word_count(F.col("text"))
+    mark = F.xxhash64("text")
+    rows = docs.withColumn("_key", -F.log(_unit(mark)) / quality_weight(F.col("text"), size))
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + F.coalesce(F.col("_key") <= F.col("_edge"), F.lit(False)).cast("long")
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", repeated).select(*docs.columns)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """How much of each document the mix takes.
 
@@ -83,9 +115,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     which of them is cut at the edge makes no difference. Columns besides the three are not
     read. An empty table gives an empty result.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
-    rows = ws.save(_keyed(docs), "rows")
-    sources = ws.save(targets(rows, weights, epochs), "sources")
+    taken, _ = _shares(docs, weights, epochs)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.col("whole")).cast("int")
+    return taken.select("doc_id", "mark", "size", "source_size", "target", "taken", copies.alias("copies"))
+
+
+def _taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     n_buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("docs") / BUCKET_DOCS))
     bucket = F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * n_buckets)
     placed = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
@@ -99,9 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     summed = summed.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    out = summed.withColumn("taken", F.col("whole") * F.col("size") + part)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.col("whole")).cast("int")
-    return out.select("doc_id", "mark", "size", "source_size", "target", "taken", copies.alias("copies"))
+    return summed.withColumn("part", part).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does.
+
+    Of rows that repeat a doc_id, the one with the least text stays (nulls first). Rows
+    with a null doc_id stay.
+    """
+    ws = Workspace(docs.sparkSession, "deduplicated")
+    found = near_duplicates(docs, words, percent)
+    gone = ws.save(found.where("not kept").select("doc_id").distinct(), "gone")
+    rest = docs.join(gone, "doc_id", "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice = ws.save(twice, "twice")
+    if twice.isEmpty():
+        return rest.select(*docs.columns)
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = rest.join(twice, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, words=3, percent=85)

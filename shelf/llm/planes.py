@@ -255,9 +255,14 @@ def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte") -> DataF
     return decode(ws.save(encode(docs, tokenizer, kind=kind), "frames", compression="none"), kind)
 
 
-def op8_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode all documents, write the files, and read every document back from them."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
 
+    return public_tokenizers.path(name)
+
+
+def op8_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents, write the files, and read every document back from them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return write_and_read(docs, tokenizer_path())

@@ -151,24 +151,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shrinkage:
     return fit_moments(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d), shrinkage)
 
 
-def classify(docs: DataFrame, model: Discriminant, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Append ``score`` and ``predicted`` to the columns ``keep`` (all, by default).
+def classify(
+    docs: DataFrame,
+    model: Discriminant,
+    keep: list[str] | None = None,
+    threshold: float = THRESHOLD,
+    into: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """Append score and prediction, named by ``into``, to the columns ``keep`` (all, by default).
 
     Every row stays, in one narrow pass. Null and empty texts are scored as a text without
     characters. A column that already bears one of the two names is replaced. Repeated
     rows score alike. An empty table gives an empty result.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    schema = docs.select(*keep).schema.add("score", "double")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in into]
+    schema = docs.select(*keep).schema.add(into[0], "double")
     frame = docs.select(*keep, F.col("text").alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t) for t in texts_of(batch.column(len(keep)))]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, into[0]])
 
     small_batches(docs.sparkSession)
-    return frame.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return frame.mapInArrow(run, schema).withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
+
+
+def accept(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of quality 1, columns as they are."""
+    marks = ("_quality_score", "_quality")
+    return classify(docs, model, into=marks, threshold=threshold).where(F.col(marks[1]) == 1).select(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id"):
