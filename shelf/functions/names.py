@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelf.options import UNNAMED
 
@@ -76,50 +77,68 @@ def signature_matches(kind: Column, head: Column) -> Column:
     return F.when(kind == "sidecar", F.lit(True)).when(F.octet_length(head) < 12, F.lit(False)).otherwise(tested)
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
-
-
 def is_reserved(name: Column) -> Column:
     """Device name before the first dot, in any ASCII case."""
     return F.translate(F.split(name, r"\.", 2)[0], _LOW, _UP).isin(*DEVICES)
 
 
-def _cut(text: Column, most: Column) -> Column:
+def sanitize_ascii(text: Column) -> Column:
+    """``component`` for text known to be ASCII, where characters are bytes; stays in the JVM."""
+    s = F.left(F.regexp_replace(text, _ILLEGAL, "-"), F.lit(MAX_BYTES))
+    s = F.regexp_replace(F.regexp_replace(s, r"[. ]+$", ""), r"^[. ]+", "")
+    return F.when(s == "", F.lit(UNNAMED)).when(is_reserved(s), F.concat(F.lit("_"), s)).otherwise(s)
+
+
+_BAD = re.compile(_ILLEGAL)
+_DEVICES = frozenset(DEVICES)
+
+
+def cut(text: str, most: int) -> str:
     """Longest prefix of whole characters within ``most`` bytes."""
-    fitting = F.filter(F.sequence(F.lit(0), F.length(text)), lambda n: F.octet_length(F.substr(text, F.lit(1), n)) <= most)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(text, F.lit(1), F.array_max(fitting)))
+    raw = text.encode("utf-8", "surrogatepass")
+    return text if len(raw) <= most else raw[:most].decode("utf-8", "ignore")
 
 
-def sanitize_component(text: Column, normalize: bool = True) -> Column:
-    """One path component fit for any file system; null stays null.
+def component(text: str) -> str:
+    """One path component fit for any file system.
 
     In order: NFC, illegal characters to hyphens, at most 100 bytes of whole characters,
     final dots and spaces off, then leading ones, a placeholder for nothing, an underscore
-    before a device name. ``normalize=False`` skips NFC, which ASCII text does not need,
-    and with it the only step that leaves the JVM.
+    before a device name.
     """
-    s = nfc(text) if normalize else text
-    s = _cut(F.regexp_replace(s, _ILLEGAL, "-"), F.lit(MAX_BYTES))
-    s = F.regexp_replace(F.regexp_replace(s, r"[. ]+$", ""), r"^[. ]+", "")
-    return F.when(s == "", F.lit(UNNAMED)).when(is_reserved(s), F.concat(F.lit("_"), s)).otherwise(s)
+    s = cut(_BAD.sub("-", unicodedata.normalize("NFC", text)), MAX_BYTES).rstrip(". ").lstrip(". ")
+    if not s:
+        return UNNAMED
+    return "_" + s if s.split(".", 1)[0].translate(_CAPITALS) in _DEVICES else s
+
+
+_CAPITALS = str.maketrans(_LOW, _UP)
 
 
-def sanitize_file_name(text: Column, normalize: bool = True) -> Column:
+def file_name(text: str) -> str:
     """A file name whose extension survives truncation.
 
     The part after the last dot counts as an extension if it has at most 16 bytes and no
     space and something stands before the dot; both parts are sanitized, and the stem gets
     what the extension leaves of 100 bytes.
     """
-    before, ext = F.regexp_extract(text, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(text, r"(?s)\.([^.]*)$", 1)
-    clean = sanitize_component(ext, normalize)
-    room = F.greatest(F.lit(1), F.lit(MAX_BYTES) - F.octet_length(clean) - 1)
-    head = F.regexp_replace(_cut(sanitize_component(before, normalize), room), r"[. ]+$", "")
-    head = F.when(head == "", F.lit(UNNAMED)).otherwise(head)
-    split = (before != "") & (F.octet_length(ext) <= MAX_EXTENSION) & ~ext.contains(" ")
-    return F.when(split, F.concat(head, F.lit("."), clean)).otherwise(sanitize_component(text, normalize))
+    before, _, ext = text.rpartition(".")
+    if not before or len(ext.encode("utf-8", "surrogatepass")) > MAX_EXTENSION or " " in ext:
+        return component(text)
+    ext = component(ext)
+    room = max(1, MAX_BYTES - len(ext.encode()) - 1)
+    return f"{cut(component(before), room).rstrip('. ') or UNNAMED}.{ext}"
+
+
+@F.pandas_udf(StringType())
+def sanitize_component(text: pd.Series) -> pd.Series:
+    """``component`` over a column; null stays null. Composing has no Spark function."""
+    return text.map(lambda s: None if s is None else component(s))
+
+
+@F.pandas_udf(StringType())
+def sanitize_file_name(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else file_name(s))
 
 
 def fold(path: str) -> str:
@@ -141,11 +160,11 @@ def family(path: str) -> str:
     return f"{head}/{_TAIL.sub('', front)}\0{ext}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def family_of(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else family(p))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_of(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else fold(p))

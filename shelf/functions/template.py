@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelf.functions.names import sanitize_component
+from shelf.functions.names import sanitize_ascii, sanitize_component
 from shelf.options import UNKNOWN_CAMERA, UNKNOWN_DATE, UNKNOWN_LOCATION
 
 #: Variables by class; those in NUMERIC may be padded.
@@ -119,7 +119,6 @@ def render(text: str, date: Column, location: Column | None = None, make: Column
     fresh: Column = F.lit(True)
     for segment in parse(text):
         names = [p.name for p in segment if isinstance(p, Var)]
-        plain = not any(n in CAMERA for n in names) and _is_plain(segment)
         pieces = []
         for p in segment:
             if isinstance(p, str):
@@ -129,8 +128,8 @@ def render(text: str, date: Column, location: Column | None = None, make: Column
             if p.pad:
                 value = F.lpad(value, F.greatest(F.length(value), F.lit(p.pad)), F.lit("0"))
             pieces.append(F.coalesce(value, F.lit(UNKNOWN_LOCATION if p.name in LOCATION else UNKNOWN_CAMERA if p.name in CAMERA else UNKNOWN_DATE)))
-        # date parts are ASCII already; other values may need composing
-        shown = sanitize_component(F.concat(*pieces), normalize=not (plain and all(n in DATE for n in names)))
+        plain = all(p.isascii() if isinstance(p, str) else p.name in DATE for p in segment)
+        shown = (sanitize_ascii if plain else sanitize_component)(F.concat(*pieces))
         if any(n in DATE for n in names):
             parts.append(F.when(date.isNotNull(), shown).when(fresh, F.lit(UNKNOWN_DATE)))
             fresh = date.isNotNull()
@@ -144,6 +143,3 @@ def render(text: str, date: Column, location: Column | None = None, make: Column
     path = F.concat_ws("/", *parts)
     return F.when(path == "", F.lit(UNKNOWN_DATE)).otherwise(path)
 
-
-def _is_plain(segment: Segment) -> bool:
-    return all(p.isascii() for p in segment if isinstance(p, str))
