@@ -35,12 +35,10 @@ def _t(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 # Layouts ------------------------------------------------------------------------------
 
-_ORDER_DAY = F.to_date("o_orderdate")
-
 
 def _layout(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _t(spark, d, "orders").select(template.render(text, _ORDER_DAY).alias("folder"))
+        rows = _t(spark, d, "orders").select(template.render(text, F.to_date("o_orderdate")).alias("folder"))
         return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
 
     return run
