@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelf.llm import decontam, media, mixing, neardup, pii, planes, quality, secrets, sharding
+from shelf.llm import decontam, linededup, media, mixing, neardup, pii, planes, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_media": media.op2_media,
     "op3_neardup": neardup.op3_neardup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_lines": linededup.op5_lines,
     "op6_quality": quality.op6_quality,
     "op7_decontam": decontam.op7_decontam,
     "op8_planes": planes.op8_planes,
