@@ -75,7 +75,7 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
 
 
 def _boundary(k1: int | None, value: int, shift: int) -> tuple[int, int]:
-    key = value << shift
+    key = min(value << shift, (1 << KEY_BITS) - 1)
     return (key, 0) if k1 is None else (k1, key)
 
 
