@@ -95,46 +95,47 @@ def encoding_of(value: Column) -> Column:
     )
 
 
-def battery(value: Column, encoding: Column) -> Column:
-    """Combined p value of the hypothesis that a token is uniform over its alphabet."""
-    alphabet = F.coalesce(*[F.when(encoding == k, F.lit(v)) for k, v in _ALPHABETS.items()])
-    size = F.length(alphabet).cast("double")
-    body = F.regexp_replace(value, "=+$", "")
-    codes = F.transform(F.split(body, ""), lambda c: F.position(c, alphabet) - 1)
-    n = F.size(codes).cast("double")
-
-    def squares(c: Column) -> Column:
-        """Sum of squared symbol counts: each sorted run of equal codes adds its length squared."""
-        zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-
-        def step(acc: Column, x: Column) -> Column:
-            run = F.when(x == acc["last"], acc["run"] + 1.0).otherwise(F.lit(1.0))
-            return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + 2.0 * run - 1.0).alias("sum"))
+def battery(tokens: DataFrame) -> DataFrame:
+    """Append ``p`` to tokens ``(value, encoding)``: how well the hypothesis stands that a
+    token is uniform over its alphabet.
 
-        return F.aggregate(F.array_sort(c), zero, step, lambda acc: acc["sum"])
-
-    chi = size * squares(codes) / n - n
-    free = size - 1.0
+    Steps are columns of their own, so each is computed once for a token.
+    """
+    alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(v)) for k, v in _ALPHABETS.items()])
+    codes = F.transform(F.split("_body", ""), lambda c: F.position(c, F.col("_alphabet")) - 1)
+    t = tokens.withColumn("_alphabet", alphabet).withColumn("_body", F.regexp_replace("value", "=+$", ""))
+    t = t.withColumn("_codes", codes).withColumn("_n", F.size("_codes").cast("double")).withColumn("_k", F.length("_alphabet").cast("double"))
+
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
+    pairs = lambda c: (F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, F.lit(1), F.size(c) - 1))
+
+    def count(acc: Column, x: Column) -> Column:
+        """Sum of squared symbol counts: in sorted codes, each run adds its length squared."""
+        run = F.when(x == acc["last"], acc["run"] + 1.0).otherwise(F.lit(1.0))
+        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + 2.0 * run - 1.0).alias("sum"))
+
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    t = t.withColumn("_squares", F.aggregate(F.array_sort("_codes"), zero, count, lambda acc: acc["sum"]))
+    chi, free = F.col("_k") * F.col("_squares") / F.col("_n") - F.col("_n"), F.col("_k") - 1.0
     wilson = (F.pow(F.greatest(chi, F.lit(1e-9)) / free, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * free))) / F.sqrt(2.0 / (9.0 * free))
-    p_chi = normal_tail(wilson)
+    t = t.withColumn("_z_chi", wilson)
 
-    high = F.transform(codes, lambda c: (c * 2 >= F.lit(1) * size.cast("int")).cast("int"))
-    ahead, behind = F.slice(high, F.lit(2), F.size(high) - 1), F.slice(high, F.lit(1), F.size(high) - 1)
-    changes = F.aggregate(F.zip_with(ahead, behind, lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    ones = F.aggregate(high, F.lit(0.0), lambda s, x: s + x)
-    zeros = n - ones
-    mean = 2.0 * ones * zeros / n + 1.0
-    spread = F.sqrt(F.greatest((mean - 1.0) * (mean - 2.0) / (n - 1.0), F.lit(1e-9)))
-    p_runs = F.when((ones > 0) & (zeros > 0), 2.0 * normal_tail(F.abs((changes + 1.0 - mean) / spread))).otherwise(F.lit(0.0))
+    t = t.withColumn("_high", F.transform("_codes", lambda c: (c * 2 >= F.col("_k")).cast("double"))).withColumn("_ones", total(F.col("_high")))
+    t = t.withColumn("_changes", total(F.zip_with(*pairs(F.col("_high")), lambda a, b: F.abs(a - b))))
+    zeros = F.col("_n") - F.col("_ones")
+    t = t.withColumn("_mean", 2.0 * F.col("_ones") * zeros / F.col("_n") + 1.0)
+    spread = F.sqrt(F.greatest((F.col("_mean") - 1.0) * (F.col("_mean") - 2.0) / (F.col("_n") - 1.0), F.lit(1e-9)))
+    t = t.withColumn("_z_runs", F.when((F.col("_ones") > 0) & (zeros > 0), F.abs((F.col("_changes") + 1.0 - F.col("_mean")) / spread)))
 
-    middle = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-    first, second = F.slice(codes, F.lit(2), F.size(codes) - 1), F.slice(codes, F.lit(1), F.size(codes) - 1)
-    joint = F.aggregate(F.zip_with(first, second, lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda s, x: s + x)
-    total = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - middle) * (x - middle))
-    p_serial = F.when(total > 0, 2.0 * normal_tail(F.abs((joint / total + 1.0 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))
+    t = t.withColumn("_middle", total(F.transform("_codes", lambda c: c.cast("double"))) / F.col("_n"))
+    t = t.withColumn("_off", F.transform("_codes", lambda c: c - F.col("_middle")))
+    t = t.withColumn("_joint", total(F.zip_with(*pairs(F.col("_off")), lambda a, b: a * b))).withColumn("_whole", total(F.transform("_off", lambda x: x * x)))
+    t = t.withColumn("_z_serial", F.when(F.col("_whole") > 0, F.abs((F.col("_joint") / F.col("_whole") + 1.0 / F.col("_n")) * F.sqrt("_n"))))
 
-    ranked = F.array_sort(F.array(p_chi, p_runs, p_serial))
-    return F.least(F.lit(1.0), 3.0 * ranked[0], 1.5 * ranked[1], ranked[2])
+    two_sided = lambda z: F.coalesce(2.0 * normal_tail(F.col(z)), F.lit(0.0))
+    t = t.withColumn("_ranked", F.array_sort(F.array(normal_tail(F.col("_z_chi")), two_sided("_z_runs"), two_sided("_z_serial"))))
+    simes = F.least(F.lit(1.0), 3.0 * F.col("_ranked")[0], 1.5 * F.col("_ranked")[1], F.col("_ranked")[2])
+    return t.select(*tokens.columns, simes.alias("p"))
 
 
 def stratum(encoding: Column, length: Column) -> Column:
@@ -172,24 +173,20 @@ def scan(docs: DataFrame, level: float = FDR) -> DataFrame:
         F.transform(spans_of(text, TOKEN, "random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), encoding_of(s["value"]).alias("encoding"))),
         lambda s: s["encoding"].isNotNull(),
     )
-    rows = docs.select("doc_id", base.alias("base"), tokens.alias("tokens"))
-    tested = F.transform(
-        "tokens",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            stratum(s["encoding"], s["end"] - s["start"]).alias("stratum"),
-            F.least(F.floor(battery(s["value"], s["encoding"]) * P_STEPS), F.lit(P_STEPS - 1)).cast("int").alias("step"),
-        ),
-    )
-    bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    rows = ws.save(ws.save(rows, "tokens").select("doc_id", bare.alias("base"), tested.alias("tokens")), "tested")
-    cuts = rejections(rows.select(F.explode("tokens").alias("t")).select("t.stratum", "t.step"), level)
+    bare = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", bare.alias("base"), tokens.alias("tokens"))
+    rows = ws.save(rows, "rows")
+    each = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.*")
+    step = F.least(F.floor(F.col("p") * P_STEPS), F.lit(P_STEPS - 1)).cast("int")
+    tested = battery(each).select("uid", "start", "end", stratum(F.col("encoding"), F.col("end") - F.col("start")).alias("stratum"), step.alias("step"))
+    tested = ws.save(tested, "tested")
     # at most one row for each encoding and length band
-    cuts = cuts.where("cut is not null").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
-    added = F.filter("tokens", lambda t: t["step"] > F.coalesce(F.element_at("cuts", t["stratum"]), F.lit(-1)))
-    added = F.transform(added, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), t["end"].alias("end")))
-    return rows.crossJoin(F.broadcast(cuts)).select("doc_id", "base", added.alias("added"))
+    cuts = F.broadcast(rejections(tested, level))
+    random = tested.join(cuts, "stratum", "left").where(F.col("step") > F.coalesce("cut", F.lit(-1)))
+    span = F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")
+    added = random.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    return rows.join(added, "uid", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def joined(spans: Column) -> Column:
