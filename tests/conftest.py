@@ -1,9 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
+    root = str(Path(__file__).resolve().parent.parent)
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")
