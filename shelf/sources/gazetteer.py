@@ -30,3 +30,8 @@ def shaped(rows: DataFrame) -> DataFrame:
         F.trim(F.coalesce("name", F.lit(""))).alias("name"),
     ).where((F.octet_length("name") <= MAX_NAME_BYTES) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     return kept.select(F.monotonically_increasing_id().alias("ord"), "lat", "lon", "cc", "region", "name")
+
+
+def write(places: DataFrame, path: str) -> None:
+    """Store a gazetteer as Parquet, sorted by latitude so that scans can skip row groups."""
+    places.sortWithinPartitions("lat", "lon").write.mode("overwrite").parquet(path)

@@ -3,7 +3,7 @@ import os
 from tests.mediafiles import heic, jpeg, png, tiff, webp
 
 from shelf.options import Options
-from shelf.sources import exif, gazetteer, journal, tree
+from shelf.sources import exif, gazetteer, generate, journal, tree
 
 WHEN = "2021:06:07 10:11:12"
 
@@ -61,3 +61,11 @@ def test_gazetteer(spark, tmp_path):
     file.write_text("lat,lon,name,admin1,cc\n45.8,15.9,Zagreb,Grad Zagreb,hr\nx,1,Bad,,de\n1,2," + "n" * 256 + ",,de\n")
     rows = gazetteer.read_csv(spark, str(file)).collect()
     assert [(r["cc"], r["region"], r["name"]) for r in rows] == [("HR", "Grad Zagreb", "Zagreb")]
+    gazetteer.write(gazetteer.read_csv(spark, str(file)), str(tmp_path / "p.parquet"))
+    assert spark.read.parquet(str(tmp_path / "p.parquet")).count() == 1
+
+
+def test_generated_records(spark):
+    rows = generate.records(spark, 1001).orderBy("rel_path").collect()
+    assert len(rows) == 1001 and rows[-1]["rel_path"] == "dir_00002/IMG_0001000.jpg"
+    assert (rows[0]["taken"].year, rows[0]["taken"].month) == (2014, 1)
