@@ -5,9 +5,11 @@ Parsing is tolerant: whatever a damaged file still yields is kept, and nothing r
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import BinaryIO
 
 #: Tag numbers.
 MAKE, MODEL, DATETIME, EXIF_IFD, GPS_IFD = 0x010F, 0x0110, 0x0132, 0x8769, 0x8825
@@ -17,6 +19,34 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 MAX_ENTRIES = 4096
 
 
+class View:
+    """Bytes of a seekable file, read where they are asked for."""
+
+    def __init__(self, file: BinaryIO):
+        self.file = file
+        self.size = file.seek(0, os.SEEK_END)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key: int | slice) -> int | bytes:
+        if isinstance(key, int):
+            return self[key : key + 1][0]
+        start, stop, _ = key.indices(self.size)
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+    def startswith(self, mark: bytes) -> bool:
+        return self[: len(mark)] == mark
+
+
+Data = bytes | View
+
+
+def _unpack(form: str, data: Data, at: int) -> int:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])[0]
+
+
 @dataclass
 class Facts:
     original: str | None = None
@@ -36,7 +66,7 @@ def clean(raw: bytes) -> str | None:
 
 
 class _Tiff:
-    def __init__(self, data: bytes):
+    def __init__(self, data: Data):
         self.data = data
         mark = data[:2]
         if mark not in (b"II", b"MM"):
@@ -44,7 +74,7 @@ class _Tiff:
         self.order = "<" if mark == b"II" else ">"
 
     def num(self, form: str, at: int) -> int:
-        return struct.unpack_from(self.order + form, self.data, at)[0]
+        return _unpack(self.order + form, self.data, at)
 
     def directory(self, at: int) -> dict[int, tuple[int, int, int]]:
         """Entries of an IFD, as far as they can be read: tag to (type, count, place of value)."""
@@ -88,7 +118,7 @@ def _pointer(tiff: _Tiff, entry: tuple[int, int, int] | None) -> int | None:
         return None
 
 
-def read_tiff(data: bytes) -> Facts:
+def read_tiff(data: Data) -> Facts:
     facts = Facts()
     try:
         tiff = _Tiff(data)
@@ -108,14 +138,14 @@ def read_tiff(data: bytes) -> Facts:
     return facts
 
 
-def _bare(block: bytes) -> bytes:
+def _bare(block: Data) -> Data:
     return block[6:] if block.startswith(b"Exif\0\0") else block
 
 
-def _jpeg(data: bytes) -> bytes | None:
+def _jpeg(data: Data) -> bytes | None:
     at = 2
     while at + 4 <= len(data) and data[at] == 0xFF:
-        kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        kind, size = data[at + 1], _unpack(">H", data, at + 2)
         if kind == 0xFF:
             at += 1
             continue
@@ -127,7 +157,7 @@ def _jpeg(data: bytes) -> bytes | None:
     return None
 
 
-def _chunks(data: bytes, at: int, form: str, name_first: bool, extra: int, align: int, wanted: bytes) -> bytes | None:
+def _chunks(data: Data, at: int, form: str, name_first: bool, extra: int, align: int, wanted: bytes) -> bytes | None:
     """Body of the first chunk of a name in a PNG or RIFF sequence."""
     while at + 8 <= len(data):
         head = data[at : at + 8]
@@ -139,11 +169,11 @@ def _chunks(data: bytes, at: int, form: str, name_first: bool, extra: int, align
     return None
 
 
-def _boxes(data: bytes, at: int, end: int):
+def _boxes(data: Data, at: int, end: int):
     while at + 8 <= end:
-        size, name, head = struct.unpack_from(">I", data, at)[0], data[at + 4 : at + 8], 8
+        size, name, head = _unpack(">I", data, at), data[at + 4 : at + 8], 8
         if size == 1 and at + 16 <= end:
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+            size, head = _unpack(">Q", data, at + 8), 16
         elif size == 0:
             size = end - at
         if size < head:
@@ -152,7 +182,7 @@ def _boxes(data: bytes, at: int, end: int):
         at += size
 
 
-def _heif(data: bytes) -> bytes | None:
+def _heif(data: Data) -> bytes | None:
     """Item of type Exif, found by way of ``meta``, ``iinf`` and ``iloc``."""
     meta = next((b for b in _boxes(data, 0, len(data)) if b[0] == b"meta"), None)
     if not meta:
@@ -167,11 +197,11 @@ def _heif(data: bytes) -> bytes | None:
             wide = data[x] >= 3
             kind = x + 4 + (4 if wide else 2) + 2
             if data[kind : kind + 4] == b"Exif":
-                item = struct.unpack_from(">I" if wide else ">H", data, x + 4)[0]
+                item = _unpack(">I" if wide else ">H", data, x + 4)
     if item is None:
         return None
     a, _ = inner[b"iloc"]
-    version, sizes = data[a], struct.unpack_from(">H", data, a + 4)[0]
+    version, sizes = data[a], _unpack(">H", data, a + 4)
     offset_size, length_size, base_size, index_size = (sizes >> s & 15 for s in (12, 8, 4, 0))
     at = a + 6
     number = lambda at, n: int.from_bytes(data[at : at + n], "big")
@@ -190,14 +220,15 @@ def _heif(data: bytes) -> bytes | None:
             at += index_size if version in (1, 2) else 0
             start, size = number(at, offset_size), number(at + offset_size, length_size)
             at += offset_size + length_size
-            body += data[base + start : base + start + size]
+            if found == item:
+                body += data[base + start : base + start + size]
         if found == item:
             # four bytes say where the TIFF header begins
             return _bare(body[4 + struct.unpack_from(">I", body, 0)[0] :]) if len(body) > 8 else None
     return None
 
 
-_CONTAINERS: list[tuple[Callable[[bytes], bool], Callable[[bytes], bytes | None]]] = [
+_CONTAINERS: list[tuple[Callable[[Data], bool], Callable[[Data], Data | None]]] = [
     (lambda d: d.startswith(b"\xff\xd8"), _jpeg),
     (lambda d: d.startswith(b"\x89PNG\r\n\x1a\n"), lambda d: _chunks(d, 8, ">I", False, 4, 1, b"eXIf")),
     (lambda d: d[:4] == b"RIFF" and d[8:12] == b"WEBP", lambda d: _chunks(d, 12, "<I", True, 0, 2, b"EXIF")),
@@ -206,8 +237,8 @@ _CONTAINERS: list[tuple[Callable[[bytes], bool], Callable[[bytes], bytes | None]
 ]
 
 
-def read(data: bytes) -> Facts:
-    """Facts of a file's bytes; a container that is unknown or damaged has none."""
+def read(data: Data) -> Facts:
+    """Facts of a file's bytes or view; a container that is unknown or damaged has none."""
     for fits, block in _CONTAINERS:
         if fits(data):
             try:

@@ -24,7 +24,7 @@ from shelf.schema import LISTING
 from shelf.sources import exif
 
 TEMP_PREFIX = ".shelf-tmp-"
-HEAD, EXIF_BYTES, CHUNK = 16, 1 << 20, 1 << 20
+HEAD, CHUNK = 16, 1 << 20
 RAW = (
     "rel_path string, size long, kind string, head binary, original string, create string, modify string, "
     "offset_time string, camera_make string, camera_model string, gps struct<lat:float,lon:float>, "
@@ -118,16 +118,16 @@ class TreeReader(DataSourceReader):
         try:
             with open(e.path, "rb") as f:
                 facts, mark = exif.Facts(), os.fstat(f.fileno())
-                start = f.read(EXIF_BYTES if kind in ("image", "raw") else HEAD)
+                start = f.read(HEAD)
                 digest = hashlib.sha256(start)
                 while block := f.read(CHUNK):
                     digest.update(block)
+                if kind in ("image", "raw"):
+                    facts = exif.read(exif.View(f))
         except PermissionError:
             return (path, None, kind, *none, None, None, None, "permission denied")
         except OSError as err:
             return (path, None, kind, *none, None, None, None, f"unreadable: {err.strerror or err}")
-        if kind in ("image", "raw"):
-            facts = exif.read(start)
         birth = getattr(mark, "st_birthtime", None)
         given = (facts.original, facts.create, facts.modify, facts.offset, facts.make, facts.model, facts.gps)
         return (path, mark.st_size, kind, start[:HEAD], *given, _instant(mark.st_mtime), _instant(birth), digest.hexdigest(), None)
