@@ -1,8 +1,8 @@
 r"""Secret scans: fixed patterns plus a randomness test battery, in DataFrame functions.
 
 Fixed patterns give the base spans. The battery looks at every token of 20 or more
-characters of ``[A-Za-z0-9+/_=-]``, infers its encoding from the characters it uses, and
-asks whether its characters are uniform draws from that alphabet: a chi-squared test of
+characters of ``[A-Za-z0-9+/_-]`` with the ``=`` that pad it (an inner ``=`` parts a name
+from its value), infers its encoding from the characters it uses, and asks whether its characters are uniform draws from that alphabet: a chi-squared test of
 uniformity, a runs test about the middle of the alphabet, and a test of serial correlation
 between neighbours. Their p values are combined by Simes' rule. Tokens that are found
 *not* random are rejected under Benjamini-Hochberg control within strata of encoding and
@@ -28,7 +28,9 @@ ACCESS = "AKIA[A-Z0-9]{12,}"  # equals AKIA[A-Z0-9]+ kept from 16 characters on:
 HEX = "[0-9a-f]{32,}+"  # equals [0-9a-f]+ kept from 32 characters on, for the same reason
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = "[A-Za-z0-9+/_=-]{20,}+"
+#: A run of 20 with all its ``=`` ahead, then a piece of it; pieces below ``LEAST`` are left out.
+TOKEN = "(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?"
+LEAST = 20
 #: Control level of the rejections, and most distinct p values that a stratum keeps apart.
 FDR = 0.2
 P_STEPS = 10_000
@@ -39,10 +41,16 @@ _ALPHABETS = {
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base40": "0123456789abcdefghijklmnopqrstuvwxyz+/-_",
+    "BASE40": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
     "base64url": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
+    "base66": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_",
 }
+#: Alphabets that hold signs; with the others, signs only part a token's groups.
+_SIGNED = ("base40", "BASE40", "base64", "base64url", "base66")
 
 
 def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -80,21 +88,37 @@ def encoding_of(value: Column) -> Column:
     """Smallest alphabet that a token fits, by name; null where none is inferred.
 
     Letters alone are taken for a word and digits alone for a number: neither is tested.
+    Every other token has an alphabet. Signs belong to base64 and base64url; elsewhere they
+    are left out of the test (as in ``sk-...`` and UUIDs) if at least ``LEAST`` characters
+    remain, and otherwise the alphabet takes them in.
     """
     body = F.regexp_replace(value, "=+$", "")
+    core = F.regexp_replace(body, "[+/_-]", "")
     mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    both = mixed & body.rlike("[a-z]") & body.rlike("[A-Z]")
+    lower, upper = body.rlike("[a-z]"), body.rlike("[A-Z]")
+    both = mixed & lower & upper
+    whole = mixed & ((F.length(core) == F.length(body)) | (F.length(core) >= LEAST))
     return (
-        F.when(mixed & body.rlike("^[0-9a-f]+$"), "hex")
-        .when(mixed & body.rlike("^[0-9A-F]+$"), "HEX")
-        .when(mixed & body.rlike("^[A-Z2-7]+$"), "base32")
-        .when(mixed & body.rlike("^[0-9a-z]+$"), "base36")
-        .when(both & body.rlike("^[0-9A-Za-z]+$"), "base62")
+        F.when(both & body.rlike("^[0-9A-Za-z]+$"), "base62")
         .when(both & body.rlike("^[0-9A-Za-z+/]+$"), "base64")
         .when(both & body.rlike("^[0-9A-Za-z_-]+$"), "base64url")
+        .when(whole & core.rlike("^[0-9a-f]+$"), "hex")
+        .when(whole & core.rlike("^[0-9A-F]+$"), "HEX")
+        .when(whole & core.rlike("^[A-Z2-7]+$"), "base32")
+        .when(whole & ~upper, "base36")
+        .when(whole & ~lower, "BASE36")
+        .when(whole, "base62")
+        .when(mixed & ~upper, "base40")
+        .when(mixed & ~lower, "BASE40")
+        .when(mixed, "base66")
     )
 
 
+def tested_part(value: Column, encoding: Column) -> Column:
+    """A token without its padding and, unless its alphabet holds them, without signs."""
+    return F.when(encoding.isin(*_SIGNED), F.regexp_replace(value, "=+$", "")).otherwise(F.regexp_replace(value, "[+/_=-]", ""))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Append ``p`` to tokens ``(value, encoding)``: how well the hypothesis stands that a
     token is uniform over its alphabet.
@@ -103,7 +127,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     """
     alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(v)) for k, v in _ALPHABETS.items()])
     codes = F.transform(F.split("_body", ""), lambda c: F.position(c, F.col("_alphabet")) - 1)
-    t = tokens.withColumn("_alphabet", alphabet).withColumn("_body", F.regexp_replace("value", "=+$", ""))
+    t = tokens.withColumn("_alphabet", alphabet).withColumn("_body", tested_part(F.col("value"), F.col("encoding")))
     t = t.withColumn("_codes", codes).withColumn("_n", F.size("_codes").cast("double")).withColumn("_k", F.length("_alphabet").cast("double"))
 
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
@@ -170,7 +194,7 @@ def scan(docs: DataFrame, level: float = FDR) -> DataFrame:
         F.concat(spans_of(text, ASSIGN, "assign", group=1, least=8), spans_of(text, ACCESS, "access"), spans_of(text, HEX, "hex"))
     )
     tokens = F.filter(
-        F.transform(spans_of(text, TOKEN, "random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), encoding_of(s["value"]).alias("encoding"))),
+        F.transform(spans_of(text, TOKEN, "random", least=LEAST), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), encoding_of(s["value"]).alias("encoding"))),
         lambda s: s["encoding"].isNotNull(),
     )
     bare = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
