@@ -31,8 +31,9 @@ KINDS = ("assign", "access", "hex", "random")
 #: A run of 20 with all its ``=`` ahead, then a piece of it; pieces below ``LEAST`` are left out.
 TOKEN = "(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?"
 LEAST = 20
-#: Control level of the rejections, and most distinct p values that a stratum keeps apart.
-FDR = 0.2
+#: Control level of the rejections, which bounds the share of truly random tokens that is
+#: lost in any stratum, and the distinct p values below it that a stratum keeps apart.
+FDR = 0.001
 P_STEPS = 10_000
 #: Lengths at which strata begin.
 LENGTHS = (20, 28, 40, 64)
@@ -167,16 +168,22 @@ def stratum(encoding: Column, length: Column) -> Column:
     return F.concat_ws(":", encoding, band.cast("string"))
 
 
-def rejections(tokens: DataFrame, level: float = FDR) -> DataFrame:
+def step_of(p: Column, level: float) -> Column:
+    """Step of a p value: ``P_STEPS`` of them up to the level, and one for all above it."""
+    return F.floor(F.least(p / level, F.lit(1.0)) * P_STEPS).cast("int")
+
+
+def rejections(tokens: DataFrame) -> DataFrame:
     """``stratum, cut``: tokens with p (in steps) up to the cut are rejected as not random.
 
-    Benjamini-Hochberg within each stratum, from counts of p values in ``P_STEPS`` steps, so
-    the ranking is over at most that many rows a stratum, however many tokens there are.
+    Benjamini-Hochberg within each stratum, from counts of p values in steps. No p above the
+    level is ever rejected, so one step takes them all, and the ranking is over at most
+    ``P_STEPS + 1`` rows a stratum, however many tokens there are.
     """
     steps = tokens.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     ranked = steps.withColumn("rank", F.sum("n").over(order)).withColumn("m", F.sum("n").over(Window.partitionBy("stratum")))
-    passed = (F.col("step") + 1) / P_STEPS <= F.lit(level) * F.col("rank") / F.col("m")
+    passed = (F.col("step") + 1) / P_STEPS <= F.col("rank") / F.col("m")
     return ranked.groupBy("stratum").agg(F.max(F.when(passed, F.col("step"))).alias("cut"))
 
 
@@ -201,11 +208,11 @@ def scan(docs: DataFrame, level: float = FDR) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", bare.alias("base"), tokens.alias("tokens"))
     rows = ws.save(rows, "rows")
     each = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.*")
-    step = F.least(F.floor(F.col("p") * P_STEPS), F.lit(P_STEPS - 1)).cast("int")
+    step = step_of(F.col("p"), level)
     tested = battery(each).select("uid", "start", "end", stratum(F.col("encoding"), F.col("end") - F.col("start")).alias("stratum"), step.alias("step"))
     tested = ws.save(tested, "tested")
     # at most one row for each encoding and length band
-    cuts = F.broadcast(rejections(tested, level))
+    cuts = F.broadcast(rejections(tested))
     random = tested.join(cuts, "stratum", "left").where(F.col("step") > F.coalesce("cut", F.lit(-1)))
     span = F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")
     added = random.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
