@@ -44,7 +44,8 @@ class _Sequence(HTMLParser):
         self.words: list[str] = []
         self.silent = 0
         self.caption: list[str] | None = None
-        self.figures: list[int] = []
+        self.figures: list[tuple[int, list[str]]] = []
+        self.captioned: set[int] = set()
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -55,14 +56,44 @@ class _Sequence(HTMLParser):
     def add(self, **item: str | None) -> None:
         self.items.append({"pos": len(self.items), "kind": None, "text": None, "ref": None, "digest": None, "caption": None} | item)
 
+    def end_caption(self) -> None:
+        """Give an open caption to its figure; one outside a figure is a run of text."""
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.caption = None
+            if text and self.figures:
+                self.figures[-1][1].append(text)
+            elif text:
+                self.add(kind="text", text=text)
+
+    def end_figure(self) -> None:
+        """Caption the media of the innermost figure that have none; captions without media are text."""
+        self.end_caption()
+        self.flush()
+        start, captions = self.figures.pop()
+        media = [item for item in self.items[start:] if item["kind"] == "media" and item["pos"] not in self.captioned]
+        for item in media if captions else ():
+            item["caption"] = " ".join(captions)
+            self.captioned.add(item["pos"])
+        for text in () if media else captions:
+            self.add(kind="text", text=text)
+
+    def end_page(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
         elif not self.silent and tag not in INLINE:
             self.flush()
             if tag == "figure":
-                self.figures.append(len(self.items))
+                self.end_caption()
+                self.figures.append((len(self.items), []))
             elif tag == "figcaption":
+                self.end_caption()
                 self.caption = []
             elif tag in MEDIA or tag == "source":
                 found = dict(attrs)
@@ -73,15 +104,11 @@ class _Sequence(HTMLParser):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif not self.silent and tag not in INLINE:
-            if tag == "figcaption" and self.caption is not None:
-                text = " ".join("".join(self.caption).split())
-                self.caption = None
-                for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                    if item["kind"] == "media" and text:
-                        item["caption"] = text
             self.flush()
-            if tag == "figure" and self.figures:
-                self.figures.pop()
+            if tag == "figcaption":
+                self.end_caption()
+            elif tag == "figure" and self.figures:
+                self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -98,7 +125,7 @@ def parse_html(html: str | None) -> list[dict]:
     page = _Sequence()
     page.feed(html or "")
     page.close()
-    page.flush()
+    page.end_page()
     return page.items
 
 
@@ -106,7 +133,10 @@ def sequences(pages: DataFrame, html: str = "html", into: str = "items") -> Data
     """Append the array of items to every row of ``pages``; a column of that name is replaced.
 
     Null and empty pages have an empty array. Captions come from ``figcaption`` for every
-    medium before it in its figure, otherwise from ``alt`` or ``title``.
+    medium of its figure, before or after it, otherwise from ``alt`` or ``title``; media of
+    a nested figure with a caption keep that one. Several captions of a figure are
+    joined. A caption without a medium is a text item; one that is not closed ends with its
+    figure or the page.
     """
     kept = pages.drop(into)
     where = kept.columns.index(html)
