@@ -1,7 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are partitioned by size (their number of shingle positions, in classes a factor
-sqrt(2) apart). For each class that the benchmark has, documents are cut into overlapping
+Test items are partitioned by size (their number of shingle positions, in classes of 1, 2,
+3, 4, 6 and 8, then a factor sqrt(2) apart). For each class that the benchmark has, documents are cut into overlapping
 windows of one and a half class sizes, so that a short item in a long document still has a
 high Jaccard similarity with some window; item and window are candidates if one of
 ``HASHES`` minima agrees. Candidates are verified by the exact share of the item's shingles
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from shelf.llm.common import Workspace, mix, shingle_hashes, shingle_set, small_batches, texts_of, word_hashes, words
 
-#: At threshold 0.8 a contiguous item has a similarity of 0.34 or more with one window, and
-#: is missed with a chance of 0.66 ** HASHES, about 2e-6.
+#: At threshold 0.8 a contiguous item has a similarity of 1/3 or more with one window, and
+#: is missed with a chance of (2/3) ** HASHES, about 2e-6.
 HASHES = 32
 WORDS, THRESHOLD = 5, 0.8
 #: Items whose minima are sent to the workers to skip windows early. Larger benchmarks go
@@ -30,10 +30,12 @@ BROADCAST_SHINGLES = 4_000_000
 
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TABLE_BITS = 24
+#: Sizes of the classes below 8: there, windows of 12 would be too wide for an item.
+_SMALL = (1, 2, 3, 4, 6)
 
 
 def size_class(positions: int) -> int:
-    """Class of an item: the smallest c of 0, 1, 2... with ``positions <= 8 * 2 ** (c / 2)``."""
+    """Class of an item: the smallest of 0, 1, 2... whose size takes its positions."""
     c = 0
     while positions > class_size(c):
         c += 1
@@ -41,7 +43,8 @@ def size_class(positions: int) -> int:
 
 
 def class_size(c: int) -> int:
-    return int(np.ceil(8 * 2 ** (c / 2)))
+    """1, 2, 3, 4 and 6, then ``8 * 2 ** (i / 2)``."""
+    return _SMALL[c] if c < len(_SMALL) else int(np.ceil(8 * 2 ** ((c - len(_SMALL)) / 2)))
 
 
 def _stamp(minima: np.ndarray, c: int) -> np.ndarray:
