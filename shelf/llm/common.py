@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -18,19 +20,16 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of each Arrow batch; a session setting, read when a plan is run."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+#: A key with more than one row in so many counts as hot. There are fewer hot keys than this
+#: in any table, which bounds what is broadcast to treat them apart.
+HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests in local mode) a temporary folder is set.
+    Only in local mode, where all is one machine, a temporary folder stands in for a setting
+    that is missing; a cluster without one is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,12 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelf-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for a while; the caller's come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
     """Tables written below the shared folder; they cut lineage and outlive lost executors."""
 
@@ -52,22 +67,40 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """Write a table and read it; the shuffle files behind it are of no more use and go."""
         path = f"{self.path}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        with setting(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the caller's table does not have, in any case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
-def fold_words(text: Column) -> Column:
-    """A-Z lower-cased; other letters stay."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(text, upper, lower)
+
+def join_spread(rows: DataFrame, found: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``found``, one row for each key, whose ``count`` bounds a key's rows.
+
+    Keys with over one in ``HEAVY`` of ``total`` rows are joined where their rows lie, by a
+    broadcast of fewer than ``HEAVY`` keys for each ``total`` rows that the counts add up to;
+    the others by Spark's usual join. So no key's rows meet in one task.
+    """
+    hot = F.col(count) * HEAVY > total
+    heavy = F.broadcast(found.where(hot).drop(count))
+    rest = rows.join(heavy.select(*on), on, "left_anti").join(found.where(~hot).drop(count), on)
+    return rows.join(heavy, on).unionByName(rest)
 
 
 def word_count(text: Column) -> Column:
@@ -115,6 +148,13 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words(text)), k))
 
 
+def bounded(batches: Iterable) -> Iterator:
+    """Arrow batches cut to ``ARROW_ROWS`` rows, so that what is made of one fits in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
+
+
 def texts_of(column) -> list:
     """UTF-8 bytes (or None) of an Arrow string column, without decoding."""
     import pyarrow as pa

@@ -18,16 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm.common import Workspace, mix, shingle_hashes, shingle_set, small_batches, texts_of, word_hashes, words
+from shelf.llm.common import Workspace, bounded, mix, shingle_hashes, shingle_set, texts_of, word_hashes, words
 
 #: At threshold 0.8 a contiguous item has a similarity of 1/3 or more with one window, and
 #: is missed with a chance of (2/3) ** HASHES, about 2e-6.
 HASHES = 32
 WORDS, THRESHOLD = 5, 0.8
-#: Items whose minima are sent to the workers to skip windows early. Larger benchmarks go
-#: through the join alone.
-BROADCAST_SHINGLES = 4_000_000
-
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TABLE_BITS = 24
 #: Sizes of the classes below 8: there, windows of 12 would be too wide for an item.
@@ -65,10 +61,9 @@ def window_stamps(hashes: np.ndarray, c: int) -> np.ndarray:
 
 def item_table(items: DataFrame, k: int) -> DataFrame:
     """``item_id, text, class, positions, shingles, stamps`` of every item with words."""
-    small_batches(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = {n: [] for n in ("item_id", "class", "shingles", "stamps")}
             for item, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 found = shingle_hashes(word_hashes(words(text)), k)
@@ -86,50 +81,48 @@ def item_table(items: DataFrame, k: int) -> DataFrame:
     return read.mapInArrow(run, "item_id long, class int, shingles array<long>, stamps array<long>")
 
 
-def _skip_table(found: DataFrame) -> np.ndarray | None:
-    """Which top bits some item's shingle has, or None if there are too many shingles."""
-    n = found.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
-    if n > BROADCAST_SHINGLES:
-        return None
-    table = np.zeros(1 << _TABLE_BITS, bool)
-    top = found.select(F.explode("shingles").alias("h")).select(F.shiftrightunsigned("h", 64 - _TABLE_BITS).cast("int").alias("b")).distinct()
-    table[[r["b"] for r in top.collect()]] = True
-    return table
+def _skip_table(found: DataFrame) -> np.ndarray:
+    """Packed bits: which top bits some item's shingle has.
+
+    The bits are aggregated to words of 64, so the driver gets no more than ``2 **
+    (_TABLE_BITS - 6)`` rows and workers 2 MB, whatever the benchmark's size.
+    """
+    top = found.select(F.explode("shingles").alias("h")).select(F.shiftrightunsigned("h", 64 - _TABLE_BITS).cast("int").alias("b"))
+    words64 = top.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits")).toArrow()
+    table = np.zeros(1 << (_TABLE_BITS - 6), "<i8")
+    table[words64.column("w").to_numpy()] = words64.column("bits").to_numpy()
+    return table.view(np.uint8)
 
 
 def candidates(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Distinct ``doc_id, item_id`` pairs that agree on a minimum in some window.
 
-    A document none of whose shingles is an item's shingle has no such minimum; where the
-    benchmark is small enough, a table of the items' shingles skips it before hashing.
+    A document none of whose shingles is an item's shingle has no such minimum; a table of
+    the items' shingles by their top bits skips most such documents before hashing.
     """
-    small_batches(docs.sparkSession)
     classes = sorted(r["class"] for r in found.select("class").distinct().collect())
-    table = _skip_table(found)
-    packed = None if table is None else np.packbits(table)
+    packed = _skip_table(found)
     shift = np.uint64(64 - _TABLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = None if packed is None else np.unpackbits(packed).astype(bool)
-        for batch in batches:
+        some = np.unpackbits(packed, bitorder="little").astype(bool)
+        for batch in bounded(batches):
             ids, stamps = [], []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 hashes = shingle_hashes(word_hashes(words(text)), k)
                 if not len(hashes):
                     continue
-                hits = None if some is None else some[(hashes >> shift).astype(np.int64)]
-                if hits is not None and not hits.any():
+                hits = some[(hashes >> shift).astype(np.int64)]
+                if not hits.any():
                     continue
                 seen = []
                 for c in classes:
                     marks = window_stamps(hashes, c)
-                    if hits is not None:
-                        half = -(-class_size(c) // 2)
-                        near = np.add.reduceat(hits, np.arange(0, len(hits), half), dtype=np.int64) > 0
-                        for _ in range(2):
-                            near = near[:-1] | near[1:] if len(near) > marks.shape[1] else near
-                        marks = marks[:, near]
-                    seen.append(np.unique(marks))
+                    half = -(-class_size(c) // 2)
+                    near = np.add.reduceat(hits, np.arange(0, len(hits), half), dtype=np.int64) > 0
+                    for _ in range(2):
+                        near = near[:-1] | near[1:] if len(near) > marks.shape[1] else near
+                    seen.append(np.unique(marks[:, near]))
                 ids.append(doc)
                 stamps.append(np.concatenate(seen))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stamps, pa.list_(pa.int64()))], names=["doc_id", "stamps"])
@@ -154,7 +147,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: f
     pairs = ws.save(candidates(docs, found, k), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             shared, held = [], {}
             for doc, text, hashes in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 if held.get("doc") != (doc, text):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelf.llm.common import Workspace, small_batches, texts_of
+from shelf.llm.common import Workspace, bounded, texts_of
 
 BLOCK = 64
 SAMPLE_RATE = 8000
@@ -140,10 +140,9 @@ def sequences(pages: DataFrame, html: str = "html", into: str = "items") -> Data
     """
     kept = pages.drop(into)
     where = kept.columns.index(html)
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             items = pa.array([parse_html(h) for h in batch.column(where).to_pylist()], _ITEM)
             yield pa.RecordBatch.from_arrays([*batch.columns, items], names=[*batch.schema.names, into])
 
@@ -195,10 +194,9 @@ def feature(samples: bytes) -> str:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, html, digest, media``: a page that refers to each text's payload, and its stored form."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             pages, digests, media = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 _, stored = to_wave(text or b"")
@@ -213,11 +211,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def read_store(store: DataFrame) -> DataFrame:
     """Read stored media back: sizes, digests, checksum and feature, keyed by ``digest``."""
-    small_batches(store.sparkSession)
     names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             for stored in batch.column(1).to_pylist():
                 samples, n = from_wave(stored)

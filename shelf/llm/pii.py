@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm.common import small_batches
+from shelf.llm.common import bounded
 
 #: Kinds in their order, and the patterns of the base spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -404,11 +404,10 @@ def scan(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     an empty result.
     """
     model = model or trained()
-    small_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = find(model, [t or "" for t in batch.column(1).to_pylist()])
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(4)]
             digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelf.llm.common import Workspace, small_batches, texts_of
+from shelf.llm.common import Workspace, bounded, texts_of
 
 BLOCK_IDS = 65_536
 FRAME_IDS = 131_072
@@ -181,7 +181,6 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, kind: str = "b
     ordered by text. Other columns of ``docs`` are not read. An empty table has no frames.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -203,7 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, kind: str = "b
                 names=["part", "frame", "part_start", "n_ids", "doc_ids", "doc_tokens", "index", "payload"],
             )
 
-        for batch in batches:
+        for batch in bounded(batches):
             for doc_id, coded in zip(batch.column(0).to_pylist(), coder.batch(texts_of(batch.column(1))), strict=True):
                 held.append(coded + tail)
                 ids.append(doc_id)
@@ -232,7 +231,7 @@ def decode(frames: DataFrame, kind: str = "byte") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for r in batch.to_pylist():
                 ids = from_planes(r["payload"], r["index"], r["n_ids"], kind)
                 ends = np.cumsum(r["doc_tokens"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm.common import small_batches, texts_of
+from shelf.llm.common import bounded, texts_of
 
 #: Bound on labelled rows used for training: the rows with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shrinkage:
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total, square = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
-        for batch in batches:
+        for batch in bounded(batches):
             x = np.array([statistics(t) for t in texts_of(batch.column(0))]).reshape(-1, d)
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
@@ -137,7 +137,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shrinkage:
                 square[c] += part.T @ part
         yield pa.RecordBatch.from_pydict({"m": pa.array([np.concatenate([count, total.ravel(), square.ravel()])], pa.list_(pa.float64()))})
 
-    small_batches(docs.sparkSession)
     sums = (
         known.mapInArrow(moments, "m array<double>")
         .select(F.posexplode("m").alias("i", "v"))
@@ -169,11 +168,10 @@ def classify(
     frame = docs.select(*keep, F.col("text").alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = np.array([statistics(t) for t in texts_of(batch.column(len(keep)))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x))], names=[*keep, into[0]])
 
-    small_batches(docs.sparkSession)
     return frame.mapInArrow(run, schema).withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
 
 

@@ -243,14 +243,14 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, model).count() == 0
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
     texts = [r[1] for r in rows]
     items = [texts[6], "  ".join((texts[-3] or "").split()[777:800]), "one two", None, "", "not in any of the documents at all, surely not"]
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, texts[6], "x")], "item_id long, text string, doc_id string")
-    for limit in (decontam.BROADCAST_SHINGLES, 0):  # with and without the table that skips documents
-        decontam.BROADCAST_SHINGLES, kept = limit, decontam.BROADCAST_SHINGLES
+    table = decontam._skip_table
+    for full in (False, True):  # as it is, and with every bit set, as a very large benchmark has it
+        monkeypatch.setattr(decontam, "_skip_table", lambda found, full=full: table(found) | np.uint8(255 * full))
         got = {(r["doc_id"], r["item_id"]): r["shared"] for r in decontam.contaminated(docs, bench).collect()}
-        decontam.BROADCAST_SHINGLES = kept
         want = {}
         for r in rows:
             for i, t in enumerate(items):
