@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelf.llm.common import Workspace, mix, shingle_set, small_batches, texts_of
+from shelf.llm.common import Workspace, bounded, fresh, join_spread, mix, shingle_set, texts_of
 from shelf.llm.graph import components
 
 BANDS, ROWS = 40, 5
@@ -81,11 +81,10 @@ def least_shared(percent: int) -> int:
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, bands``: set size, set digest and band hashes of each row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             sizes, first, second, bands = [], [], [], []
             for text in texts_of(batch.column(1)):
                 found = shingle_set(text, words)
@@ -127,7 +126,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 held[key] = shingle_set(text, words)
             return held[key]
 
-        for batch in batches:
+        for batch in bounded(batches):
             good = []
             for a, b in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True):
                 x, y = of(a), of(b)
@@ -166,7 +165,7 @@ def leaders(buckets: DataFrame, least: int) -> DataFrame:
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that agree in their first columns, over batches sorted by these."""
     group: list[tuple] = []
-    for batch in batches:
+    for batch in bounded(batches):
         columns = [texts_of(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
             if group and row[:keys] != group[0][:keys]:
@@ -177,17 +176,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tupl
         yield group
 
 
-def _in_blocks(rows: DataFrame, key: str, member: str, size: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: str, member: str) -> DataFrame:
     """Deal each group out as pairs of blocks ``(i, j)`` of about ``BLOCK`` members.
 
-    ``size`` holds the group's count; ``own`` is a member's block. A group of one block is
-    one pair; the rows come sorted by group and pair.
+    ``main`` is the component of most members, ``inside`` and ``outside`` count those in it
+    and not. Members of the main component are not compared with one another: their blocks
+    (negative ``i``) meet each block of the others once, and the others' blocks meet among
+    themselves. ``left`` tells the sides of a pair apart. The rows come sorted by group and pair.
     """
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(member), blocks).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return spread.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    block = lambda size: F.greatest(F.lit(1), F.ceil(F.col(size) / BLOCK).cast("int"))
+    own = lambda size: F.pmod(F.xxhash64(member), block(size)).cast("int")
+    main, rest = rows.where("c = main").withColumn("own", own("inside")), rows.where("c <> main").withColumn("own", own("outside"))
+    every = lambda df, size: df.withColumn("other", F.explode(F.sequence(F.lit(0), block(size) - 1)))
+    with_main = every(rest, "inside").withColumns({"i": -1 - F.col("other"), "j": F.col("own"), "left": F.lit(True)})
+    of_main = every(main, "outside").withColumns({"i": -1 - F.col("own"), "j": F.col("other"), "left": F.lit(False)})
+    among = every(rest, "outside").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("left", F.col("own") == F.col("i"))
+    return with_main.unionByName(of_main).unionByName(among).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _mains(rows: DataFrame, key: str) -> DataFrame:
+    """``key, main, inside, outside`` of groups ``(key, c)`` that lie in several components."""
+    each = rows.groupBy(key, "c").agg(F.count(F.lit(1)).alias("k"))
+    of = each.groupBy(key).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("m"))
+    return of.where("m > inside").select(key, "main", "inside", (F.col("m") - F.col("inside")).alias("outside"))
 
 
 def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,20 +232,17 @@ def candidate_clusters(ws: Workspace, buckets: DataFrame, marks: DataFrame, leas
     marks`` with 32 bits of every band hash. A bucket yields no more than a spanning forest
     of its pairs.
     """
-    mixed = buckets.groupBy("bh").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bh", "m")
-    rows = _in_blocks(buckets.join(mixed, "bh").join(marks, "rep"), "bh", "rep", "m").select("bh", "i", "j", "own", "rep", "n", "c", "marks")
+    mixed = ws.save(_mains(buckets, "bh"), "mixed")
+    members = ws.save(buckets.join(mixed, "bh"), "members")
+    rows = _in_blocks(members.join(marks, "rep"), "bh", "rep").select("bh", "i", "j", "left", "rep", "n", "c", "marks")
 
     def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
         side, rep, n, c = (np.array([g[k] for g in group]) for k in (3, 4, 5, 6))
         seen = np.array([np.frombuffer(g[7], np.uint32) for g in group])
-        names, index, count = np.unique(c, return_inverse=True, return_counts=True)
-        main = index == count.argmax()
         later = np.arange(len(rep))
-        for x in np.flatnonzero(~main):
-            ok = (main | (later > x)) & (c != c[x]) & (rep != rep[x])
+        for x in np.flatnonzero(side):
+            ok = (later > x if group[0][1] == group[0][2] else ~side) & (c != c[x]) & (rep != rep[x])
             ok &= 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
-            if group[0][1] != group[0][2]:
-                ok &= side != side[x]
             at = np.flatnonzero(ok)
             for y in at[(seen[at] == seen[x]).sum(1) >= least]:
                 yield rep[x], rep[y]
@@ -255,15 +263,16 @@ def verify_clusters(ws: Workspace, clusters: DataFrame, united: DataFrame, texts
     against block: shared sizes are products of the blocks' incidence matrices over the
     shingles that occur on both sides. Only a spanning forest of the links is returned.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    state = clusters.join(united, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c"))
-    rows = state.join(sizes, "cluster").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    dealt = _in_blocks(rows, "cluster", "node", "m").select("cluster", "i", "j", "own", "node", "c", "text")
+    state = ws.save(clusters.join(united, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("c")), "clustered")
+    mains = ws.save(_mains(state, "cluster"), "mains")
+    dealt = _in_blocks(state.join(mains, "cluster"), "cluster", "node").select("cluster", "i", "j", "left", "node", "c")
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").select("cluster", "i", "j", "left", "node", "c", "text")
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def links_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
         sets = [shingle_set(g[6], words) for g in group]
         node, c, n = np.array([g[4] for g in group]), np.array([g[5] for g in group]), np.array([len(s) for s in sets])
-        left = np.array([g[3] == g[1] for g in group])
+        left = np.array([g[3] for g in group])
         right = ~left if group[0][1] != group[0][2] else left
         token, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), n)
@@ -297,7 +306,7 @@ def verify_clusters(ws: Workspace, clusters: DataFrame, united: DataFrame, texts
 def repeated_ids(ws: Workspace, known: DataFrame, classes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the classes of rows that repeat a doc_id with another text."""
     spans = known.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
-    members = ws.save(known.join(spans, "doc_id").join(classes, ["d1", "d2"]).select("doc_id", "rep"), "repeated")
+    members = ws.save(known.join(spans, "doc_id").join(classes.drop("m"), ["d1", "d2"]).select("doc_id", "rep"), "repeated")
     least = members.groupBy("doc_id").agg(F.min("rep").alias("a"))
     return ws.save(members.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links-ids")
 
@@ -309,15 +318,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n_shingles, component_id, kept``. Null, empty and blank texts have no shingles and are
     linked with nothing; texts of fewer words than ``words`` are one shingle. Rows that
     repeat a doc_id are the same vertex: their texts' links are united. Rows with a null
-    doc_id are counted but not linked (null component, kept). An empty table gives an
-    empty result.
+    doc_id are counted but not linked (null component, kept). Texts are read whole, however
+    long: a set holds eight bytes for a word, and blocks bound how many sets a task holds.
+    An empty table gives an empty result; columns besides the two are not read.
     """
     ws = Workspace(docs.sparkSession, "neardup")
     least = least_shared(percent)
     rows = ws.save(sketches(docs, words), "sketches")
     known = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = ws.save(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["d1", "d2"]).select("rep", F.col("n_shingles").alias("n"), "bands")
+    classes = ws.save(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
+    # the id is a key too, so the copies of a class do not meet
+    firsts = classes.withColumn("doc_id", F.col("rep"))
+    reps = known.join(firsts, ["d1", "d2", "doc_id"]).dropDuplicates(["d1", "d2"]).select("rep", F.col("n_shingles").alias("n"), "bands")
     reps = ws.save(reps, "reps")
 
     spread = reps.select("rep", F.explode("bands").alias("bh"))
@@ -340,9 +352,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = links.unionByName(verify_clusters(ws, clusters, united, texts, words, percent))
     united = components(ws, links, "a", "b", "all")
 
-    of_class = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
-    out = rows.join(of_class, ["d1", "d2"], "left")
+    of_class = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "m", F.coalesce("component", "rep").alias("found"))
+    of_class = ws.save(of_class, "found")
+    bare = rows.select("doc_id", "n_shingles", "d1", "d2")
+    linked = bare.where("n_shingles > 0 and doc_id is not null")
+    out = join_spread(linked, of_class, ["d1", "d2"], "m", classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    alone = bare.where("not (n_shingles > 0 and doc_id is not null)").withColumn("found", F.lit(None).cast("long"))
+    out = out.unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    ws.drop("texts", "reps", "buckets", "pairs", "mixed", "members", "candidates", "clustered", "mains")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -360,8 +378,8 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     twice = ws.save(twice, "twice")
     if twice.isEmpty():
         return rest.select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = rest.join(twice, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
+    first, copy = Window.partitionBy("doc_id").orderBy("text"), fresh(docs, "copy")
+    one = rest.join(twice, "doc_id", "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1)
     return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
