@@ -2,11 +2,18 @@ r"""Secret scans: fixed patterns plus a randomness test battery, in DataFrame fu
 
 Fixed patterns give the base spans. The battery looks at every token of 20 or more
 characters of ``[A-Za-z0-9+/_-]`` with the ``=`` that pad it (an inner ``=`` parts a name
-from its value), infers its encoding from the characters it uses, and asks whether its characters are uniform draws from that alphabet: a chi-squared test of
-uniformity, a runs test about the middle of the alphabet, and a test of serial correlation
-between neighbours. Their p values are combined by Simes' rule. Tokens that are found
-*not* random are rejected under Benjamini-Hochberg control within strata of encoding and
-length, since short tokens have less power; the tokens that survive are the added spans.
+from its value) that no base span overlaps, and infers its encoding from the characters it
+uses. Two questions are asked of it.
+
+Is it uniform over its alphabet? A chi-squared test of uniformity, a runs test about the
+middle of the alphabet and a test of serial correlation between neighbours, combined by
+Simes' rule; a token that fails is no secret.
+
+Could it be ordinary text or an identifier? Under that null its letters repeat as those of
+the corpus do (the same chi-squared sum, against the corpus's letter frequencies), letters
+and digits come in runs (a runs test), and consonants do not cluster (a test of
+neighbours). Only tokens that reject this null are reported, by Benjamini-Hochberg within
+strata of encoding and length: short tokens have less power, so they need more evidence.
 
 Positions come from splitting a text by the pattern: the lengths of the pieces and of the
 matches, added up, are code-point offsets.
@@ -31,10 +38,16 @@ KINDS = ("assign", "access", "hex", "random")
 #: A run of 20 with all its ``=`` ahead, then a piece of it; pieces below ``LEAST`` are left out.
 TOKEN = "(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?"
 LEAST = 20
-#: Control level of the rejections, which bounds the share of truly random tokens that is
-#: lost in any stratum, and the distinct p values below it that a stratum keeps apart.
-FDR = 0.001
-P_STEPS = 10_000
+#: Level of the uniformity tests: the share of truly random tokens that they lose.
+LEVEL = 0.001
+#: False discovery rate of the reported tokens within each stratum.
+FDR = 0.05
+#: Steps of p values are tenths of a decimal digit, up to twenty digits.
+P_STEP, P_DIGITS = 10, 20
+#: Ordinary tokens: the most often that of two neighbours one is a letter and one a digit,
+#: that two letters are both consonants, and that two letters differ in case; and the most
+#: that the tests of these correlate.
+ALTERNATION, CLUSTERS, CASES, CORRELATION = 0.10, 0.40, 0.30, 0.1
 #: Lengths at which strata begin.
 LENGTHS = (20, 28, 40, 64)
 _ALPHABETS = {
@@ -160,7 +173,61 @@ def battery(tokens: DataFrame) -> DataFrame:
     two_sided = lambda z: F.coalesce(2.0 * normal_tail(F.col(z)), F.lit(0.0))
     t = t.withColumn("_ranked", F.array_sort(F.array(normal_tail(F.col("_z_chi")), two_sided("_z_runs"), two_sided("_z_serial"))))
     simes = F.least(F.lit(1.0), 3.0 * F.col("_ranked")[0], 1.5 * F.col("_ranked")[1], F.col("_ranked")[2])
-    return t.select(*tokens.columns, simes.alias("p"))
+    return t.withColumn("p", simes).select(*tokens.columns, "_body", "p")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each small letter occurs in a text."""
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LOWER])
+
+
+def letter_moments(counts: list[int], among: str) -> tuple[float, float]:
+    """Sums of squares and cubes of the shares that letters have of those in ``among``."""
+    held = [n for c, n in zip(_LOWER, counts, strict=True) if c in among]
+    total = sum(held)
+    shares = [n / total if total else 1 / len(held) for n in held]
+    return sum(x**2 for x in shares), sum(x**3 for x in shares)
+
+
+def ordinary(tokens: DataFrame, counts: list[int]) -> DataFrame:
+    """Append ``q`` to tokens ``(encoding, _body)``: how well the hypothesis stands that a
+    token is ordinary, from one-sided z scores added up; that of case counts in tokens of both cases."""
+    hexed = F.col("encoding").isin("hex", "HEX")
+    of = {name: letter_moments(counts, among) for name, among in (("hex", "abcdef"), ("any", _LOWER))}
+    two, three = (F.when(hexed, F.lit(of["hex"][k])).otherwise(F.lit(of["any"][k])) for k in (0, 1))
+    plain = F.translate("_body", "+/_-" + _UPPER, "\0\0\0\0" + _LOWER)
+    t = tokens.withColumn("_plain", F.regexp_replace(plain, "[^0-9a-z]", ""))
+    t = t.withColumn("_letters", F.array_sort(F.split(F.regexp_replace("_plain", "[0-9]", ""), ""))).withColumn("_m", F.size("_letters").cast("double"))
+
+    def count(acc: Column, x: Column) -> Column:
+        run = F.when(x == acc["last"], acc["run"] + 1.0).otherwise(F.lit(0.0))
+        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + 2.0 * run).alias("sum"))
+
+    zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    t = t.withColumn("_pairs", F.aggregate("_letters", zero, count, lambda acc: acc["sum"]))
+    m = F.col("_m")
+    spread = 2.0 * m * (m - 1.0) * (two + 2.0 * (m - 2.0) * three - (2.0 * m - 3.0) * two * two)
+    t = t.withColumn("_z_letters", F.when((m > 2) & (spread > 0), (m * (m - 1.0) * two - F.col("_pairs")) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(0.0))
+
+    def excess(seen: Column, of: Column, rate: float) -> Column:
+        """z score of a count above a binomial of the given rate, with continuity correction."""
+        return F.when(of > 0, (seen - 0.5 - of * rate) / F.sqrt(F.greatest(of, F.lit(1.0)) * (rate * (1 - rate)))).otherwise(0.0)
+
+    kinds = F.translate("_plain", "0123456789" + _LOWER, "0" * 10 + "".join("a" if c in "aeiouy" else "b" for c in _LOWER))
+    t = t.withColumn("_kinds", kinds).withColumn("_n", F.length("_plain"))
+    at = lambda pattern: F.regexp_count("_kinds", F.lit(pattern))
+    t = t.withColumn("_turns", at("0(?=[ab])|[ab](?=0)")).withColumn("_clusters", at("b(?=b)")).withColumn("_next", at("[ab](?=[ab])"))
+    t = t.withColumn("_z_turns", excess(F.col("_turns"), F.col("_n") - 1, ALTERNATION)).withColumn("_z_clusters", excess(F.col("_clusters"), F.col("_next"), CLUSTERS))
+    cases = lambda pattern: F.regexp_count("_body", F.lit(pattern))
+    t = t.withColumn("_shifts", cases("[a-z](?=[+/_-]?[A-Z])|[A-Z](?=[+/_-]?[a-z])"))
+    t = t.withColumn("_z_cases", F.when(F.rlike("_body", F.lit("[a-z]")) & F.rlike("_body", F.lit("[A-Z]")), excess(F.col("_shifts"), F.col("_next"), CASES)))
+    added = F.col("_z_letters") + F.col("_z_turns") + F.col("_z_clusters")
+    width = lambda k: (k + k * (k - 1) * CORRELATION) ** 0.5
+    z = F.when(F.col("_z_cases").isNull(), added / width(3)).otherwise((added + F.col("_z_cases")) / width(4))
+    return t.select(*[c for c in tokens.columns if c != "_body"], normal_tail(z).alias("q"))
 
 
 def stratum(encoding: Column, length: Column) -> Column:
@@ -168,32 +235,32 @@ def stratum(encoding: Column, length: Column) -> Column:
     return F.concat_ws(":", encoding, band.cast("string"))
 
 
-def step_of(p: Column, level: float) -> Column:
-    """Step of a p value: ``P_STEPS`` of them up to the level, and one for all above it."""
-    return F.floor(F.least(p / level, F.lit(1.0)) * P_STEPS).cast("int")
+def step_of(p: Column) -> Column:
+    """Step of a p value, the higher the smaller it is; a step stands for its largest value."""
+    return F.floor(F.least(F.lit(float(P_DIGITS)), -F.log10(F.greatest(p, F.lit(1e-300)))) * P_STEP).cast("int")
 
 
-def rejections(tokens: DataFrame) -> DataFrame:
-    """``stratum, cut``: tokens with p (in steps) up to the cut are rejected as not random.
+def discoveries(tokens: DataFrame, rate: float) -> DataFrame:
+    """``stratum, cut``: tokens of a stratum from step ``cut`` on reject the ordinary null.
 
-    Benjamini-Hochberg within each stratum, from counts of p values in steps. No p above the
-    level is ever rejected, so one step takes them all, and the ranking is over at most
-    ``P_STEPS + 1`` rows a stratum, however many tokens there are.
+    Benjamini-Hochberg within each stratum, from counts of p values in steps, so the ranking
+    is over at most ``P_STEP * P_DIGITS + 1`` rows a stratum, however many tokens there are.
     """
     steps = tokens.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("stratum").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = steps.withColumn("rank", F.sum("n").over(order)).withColumn("m", F.sum("n").over(Window.partitionBy("stratum")))
-    passed = (F.col("step") + 1) / P_STEPS <= F.col("rank") / F.col("m")
-    return ranked.groupBy("stratum").agg(F.max(F.when(passed, F.col("step"))).alias("cut"))
+    passed = F.pow(F.lit(10.0), -F.col("step") / P_STEP) <= rate * F.col("rank") / F.col("m")
+    return ranked.groupBy("stratum").agg(F.min(F.when(passed, F.col("step"))).alias("cut")).where("cut is not null")
 
 
-def scan(docs: DataFrame, level: float = FDR) -> DataFrame:
+def scan(docs: DataFrame, level: float = LEVEL, rate: float = FDR) -> DataFrame:
     """Spans of secrets in every whole text: ``doc_id, base, added``, arrays of
     ``(start, rank, end)`` ordered by start, then by place in ``KINDS``.
 
-    Null and empty texts have no spans. Repeated rows have equal spans, and each counts in
-    the control of false discoveries. Columns besides ``doc_id, text`` are not read. An
-    empty table gives an empty result.
+    Added spans overlap no base span. Null and empty texts have no spans; texts are read
+    whole, however long. Repeated rows have equal spans, and each counts in the control of
+    false discoveries. Columns besides ``doc_id, text`` are not read. An empty table gives
+    an empty result.
     """
     ws = Workspace(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -205,15 +272,18 @@ def scan(docs: DataFrame, level: float = FDR) -> DataFrame:
         lambda s: s["encoding"].isNotNull(),
     )
     bare = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", bare.alias("base"), tokens.alias("tokens"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", bare.alias("base"), tokens.alias("tokens"), letter_counts(text).alias("letters"))
     rows = ws.save(rows, "rows")
-    each = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.*")
-    step = step_of(F.col("p"), level)
-    tested = battery(each).select("uid", "start", "end", stratum(F.col("encoding"), F.col("end") - F.col("start")).alias("stratum"), step.alias("step"))
-    tested = ws.save(tested, "tested")
+    sums = rows.agg(*[F.coalesce(F.sum(F.col("letters")[k]), F.lit(0)).alias(c) for k, c in enumerate(_LOWER)]).first()
+    each = rows.select("uid", "base", F.explode("tokens").alias("t"))
+    each = each.where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))).select("uid", "t.*")
+    tested = ordinary(battery(each), list(sums)).select("uid", "start", "end", "encoding", "p", "q")
+    # a table of its own, so that no filter is pushed below the tests and repeats them
+    tested = ws.save(tested, "tested").where(F.col("p") > level)
+    tested = tested.select("uid", "start", "end", stratum(F.col("encoding"), F.col("end") - F.col("start")).alias("stratum"), step_of(F.col("q")).alias("step"))
     # at most one row for each encoding and length band
-    cuts = F.broadcast(rejections(tested))
-    random = tested.join(cuts, "stratum", "left").where(F.col("step") > F.coalesce("cut", F.lit(-1)))
+    cuts = F.broadcast(discoveries(tested, rate))
+    random = tested.join(cuts, "stratum").where(F.col("step") >= F.col("cut"))
     span = F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")
     added = random.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
