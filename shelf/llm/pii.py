@@ -33,6 +33,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 #: What a stretch of text must hold to be read by the tagger, and how far around it.
 _TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
 REACH = 40
+#: Characters that are scored at a time.
+GROUP = 400_000
 WINDOW, STRIDE = 96, 48
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EMBED, HIDDEN = 12, 20
@@ -92,8 +94,9 @@ def labelled_text(rng: random.Random, length: int = WINDOW) -> tuple[str, list[t
         if kind == 1:
             return rng.choice(["."] * 5 + [" . "]).join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == 2:
-            sep = rng.choice(["", " ", "-", "."])
-            return sep.join(digits(4) for _ in range(4))
+            sep, body = rng.choice(["", " ", "-", "."]), digits(15)
+            number = body + next(d for d in "0123456789" if luhn(body + d))
+            return sep.join(number[k : k + 4] for k in range(0, 16, 4))
         form = rng.choice(["+1 ({}) {}-{}", "+{} {} {}", "({}) {}-{}", "+44 {} {} {}", "{}-{}-{}", "+49 {}/{}{}"])
         sizes = [3, 3, 4] if "44" not in form else [4, 3, 4]
         return form.format(*(digits(n) for n in sizes))
@@ -302,10 +305,22 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = SEED
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Maximal pieces of a text within ``REACH`` characters of a trigger."""
+    """Maximal pieces of a text within ``REACH`` characters of a trigger, ends of words included.
+
+    No word is cut, so a span of any length lies in one piece.
+    """
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
+        if out and m.end() + REACH <= out[-1][1]:
+            continue
         start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and start <= out[-1][1]:
+            start = out[-1][0]
+        else:
+            while start and not text[start - 1].isspace() and not (out and start <= out[-1][1]):
+                start -= 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], end)
         else:
@@ -344,16 +359,32 @@ def fits(kind: int, value: str) -> bool:
         parts = re.findall(r"[0-9]+", value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 14 <= digits <= 19 and not re.search(r"[A-Za-z]", value)
+        return 14 <= digits <= 19 and not re.search(r"[A-Za-z]", value) and luhn(re.sub("[^0-9]", "", value))
     return 10 <= digits <= 15 and not re.search(r"[A-Za-z]", value) and bool(re.search(r"[^0-9]", value))
 
 
 def decoded(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger finds in whole texts, ends trimmed of white space."""
-    where = [(n, a, b) for n, t in enumerate(texts) for a, b in stretches(t)]
+    """Spans that the tagger finds in whole texts, ends trimmed of white space.
+
+    Stretches are scored in groups of ``GROUP`` characters, which bounds the memory of a
+    batch; one longer stretch is a group of its own.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not where:
-        return out
+    group, held = [], 0
+    for n, t in enumerate(texts):
+        for a, b in stretches(t):
+            if group and held + b - a > GROUP:
+                _decode(model, texts, group, out)
+                group, held = [], 0
+            group.append((n, a, b))
+            held += b - a
+    if group:
+        _decode(model, texts, group, out)
+    return out
+
+
+def _decode(model: Tagger, texts: list[str], where: list[tuple[int, int, int]], out: list[list[tuple[int, int, int]]]) -> None:
+    """Add the spans of some stretches ``(text, start, end)`` to their texts' lists."""
     scores = blended(model, [texts[n][a:b] for n, a, b in where])
     order = sorted(range(len(where)), key=lambda i: len(scores[i]))
     at = 0
@@ -379,7 +410,6 @@ def decoded(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]
                 value = value.strip()
                 if fits(kind, value):
                     out[n].append((start, kind, start + len(value)))
-    return out
 
 
 def find(model: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -399,7 +429,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """Personal data of every whole text: ``doc_id``, counts and digest of base spans, all spans.
 
-    Null and empty texts have no spans. Rows are treated each by itself, so repeated rows
+    Null and empty texts have no spans; long ones are read whole. Rows are treated each by itself, so repeated rows
     give equal results; columns besides ``doc_id, text`` are not read. An empty table gives
     an empty result.
     """
