@@ -230,14 +230,16 @@ def date_chain(spark: SparkSession, d: str) -> DataFrame:
 # Groups -------------------------------------------------------------------------------
 
 _K3 = "CAST(floor(o_orderkey / 3) AS BIGINT)"
-_RECORDS = f"""SELECT o_orderkey AS k, concat('d', CAST({_K3} % 60 AS STRING), '/IMG', CAST({_K3} AS STRING),
+#: Every fourth customer's orders are groups of their own, some of them sidecars alone.
+_STEM = f"CASE WHEN o_custkey % 4 = 1 THEN concat(CAST(o_orderkey AS STRING), 'l') ELSE CAST({_K3} AS STRING) END"
+_RECORDS = f"""SELECT o_orderkey AS k, concat('d', CAST({_K3} % 60 AS STRING), '/IMG', {_STEM},
       CASE o_orderkey % 3 WHEN 0 THEN '.JPG' WHEN 1 THEN '.nef' ELSE '.xmp' END) AS rel_path,
-    concat('d', CAST({_K3} % 60 AS STRING)) AS dir, concat('img', CAST({_K3} AS STRING)) AS stem,
+    concat('d', CAST({_K3} % 60 AS STRING)) AS dir, concat('img', {_STEM}) AS stem,
     CASE o_orderkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'raw' ELSE 'sidecar' END AS kind,
     CASE o_orderkey % 4 WHEN 0 THEN 'filename' WHEN 1 THEN 'mtime' ELSE 'exif-datetime-original' END AS date_source,
     CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS ds_rank, o_orderkey % 3 AS kind_rank,
     CAST(1000 + o_orderkey % 1500 AS BIGINT) AS size, CAST(o_orderkey % 1500 AS STRING) AS content, o_orderdate AS taken
-    FROM orders WHERE o_custkey % 4 <> 1"""
+    FROM orders"""
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -376,11 +378,11 @@ def dedup_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dedup_destination",
-    "SELECT s.doc_id, min('kept/' || lpad(CAST(t.doc_id AS STRING), 9, '0')) AS dest_match FROM documents s JOIN documents t ON s.text = t.text WHERE t.doc_id % 5 = 0 GROUP BY 1",
+    "SELECT s.doc_id, min('kept/' || lpad(CAST(t.doc_id AS STRING), 9, '0')) AS dest_match FROM documents s JOIN documents t ON s.text = t.text GROUP BY 1",
 )
 def dedup_destination(spark: SparkSession, d: str) -> DataFrame:
     rows = _digested(spark, d)
-    held = rows.where("doc_id % 5 = 0").select(F.concat(F.lit("kept/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), "size", F.lit(False).alias("is_dir"), "digest")
+    held = rows.select(F.concat(F.lit("kept/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), "size", F.lit(False).alias("is_dir"), "digest")
     return dedup.destination_match(rows, held).where("dest_match is not null").select("doc_id", "dest_match")
 
 
