@@ -101,6 +101,18 @@ def date_values(date: Column) -> dict[str, Column]:
     }
 
 
+def clean(segment: Segment) -> bool:
+    """Whether no value can make a segment of dates and ASCII literals need sanitizing.
+
+    Digits, month names, and literals of letters, digits, ``-`` and ``_`` are legal and
+    short, and with a sign or without letters of its own a segment is no device name.
+    """
+    literal = "".join(p for p in segment if isinstance(p, str))
+    dated = all(isinstance(p, str) or p.name in DATE for p in segment) and any(isinstance(p, Var) for p in segment)
+    legal = all(c.isascii() and (c.isalnum() or c in "-_") for c in literal)
+    return dated and legal and ("-" in literal or "_" in literal or not any(map(str.isalpha, literal))) and len(literal) + 12 * len(segment) <= 100
+
+
 def render(text: str, date: Column, location: Column | None = None, make: Column | None = None, model: Column | None = None) -> Column:
     """Relative directory of a row.
 
@@ -129,7 +141,8 @@ def render(text: str, date: Column, location: Column | None = None, make: Column
                 value = F.lpad(value, F.greatest(F.length(value), F.lit(p.pad)), F.lit("0"))
             pieces.append(F.coalesce(value, F.lit(UNKNOWN_LOCATION if p.name in LOCATION else UNKNOWN_CAMERA if p.name in CAMERA else UNKNOWN_DATE)))
         plain = all(p.isascii() if isinstance(p, str) else p.name in DATE for p in segment)
-        shown = (sanitize_ascii if plain else sanitize_component)(F.concat(*pieces))
+        joined = F.concat(*pieces)
+        shown = joined if clean(segment) else (sanitize_ascii if plain else sanitize_component)(joined)
         if any(n in DATE for n in names):
             parts.append(F.when(date.isNotNull(), shown).when(fresh, F.lit(UNKNOWN_DATE)))
             fresh = date.isNotNull()

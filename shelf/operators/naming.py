@@ -82,8 +82,8 @@ def assign(rows: DataFrame, existing: DataFrame, mode: str, on_conflict: str) ->
     """``DECIDED`` rows where duplicates are settled already (rename and overwrite).
 
     Families without names on disk and of one folded name, nearly all, are numbered by a
-    window in the JVM; a folder full of one name is a sort there. Only the others run the
-    serial rule in Python.
+    window in the JVM; a folder full of one name is a sort there. Families that the journal
+    holds whole need no rule. Only the others run the serial rule in Python.
     """
     named = rows.withColumn("family", family_of(F.coalesce("journal_dest", "wanted")))
     held = existing.select("path", family_of(F.col("path")).alias("family"))
@@ -91,12 +91,16 @@ def assign(rows: DataFrame, existing: DataFrame, mode: str, on_conflict: str) ->
     # one row for each family is joined back, so a large family costs one row here
     folded = fold_of(F.col("wanted"))
     plain = named.groupBy("family").agg(
-        (F.max(F.col("journal_dest").isNotNull()) | (F.min(folded) != F.max(folded))).alias("mixed"), F.count(F.lit(1)).alias("n")
+        F.min(F.col("journal_dest").isNotNull()).alias("done"),
+        (F.max(F.col("journal_dest").isNotNull()) | (F.min(folded) != F.max(folded))).alias("mixed"),
     )
-    kind = plain.join(on_disk, "family", "left").select("family", (F.col("mixed") | F.coalesce("held", F.lit(False))).alias("hard"))
-    split = named.join(kind, "family")
+    hard = F.when(F.col("done"), F.lit(False)).otherwise(F.col("mixed") | F.coalesce("held", F.lit(False)))
+    split = named.join(plain.join(on_disk, "family", "left").select("family", "done", hard.alias("hard")), "family")
     order = Window.partitionBy("family").orderBy("pos")
-    easy = split.where("not hard").withColumn("n", F.row_number().over(order) - 1)
+    done = split.where("done").select(
+        "pos", F.col("journal_dest").alias("dest_rel"), F.lit("skip").alias("action"), F.lit("already-done").alias("reason"), F.lit(None).cast("string").alias("duplicate_of")
+    )
+    easy = split.where("not hard and not done").withColumn("n", F.row_number().over(order) - 1)
     front, ext = F.regexp_extract("wanted", r"(?s)^(.*[^/])\.[^./]*$", 1), F.regexp_extract("wanted", r"(?s)[^/](\.[^./]*)$", 1)
     numbered = F.concat(F.when(ext == "", F.col("wanted")).otherwise(front), F.lit("_"), F.col("n"), ext)
     easy = easy.select(
@@ -107,7 +111,7 @@ def assign(rows: DataFrame, existing: DataFrame, mode: str, on_conflict: str) ->
         F.lit(None).cast("string").alias("duplicate_of"),
     )
     hard = split.where("hard")
-    return easy.unionByName(_by_fold(hard, held, "family", mode, on_conflict, dedup=False))
+    return easy.unionByName(done).unionByName(_by_fold(hard, held, "family", mode, on_conflict, dedup=False))
 
 
 def assign_by_component(rows: DataFrame, existing: DataFrame, mode: str, on_conflict: str, dedup: bool) -> DataFrame:
