@@ -69,7 +69,7 @@ def run(spark: SparkSession, opts: Options, gazetteer: DataFrame | None = None,
         parse(opts.template_for(level))
     records, failures = tree.scan(spark, opts)
     done = journals.read(spark, opts.resume) if opts.resume else None
-    at_dest = tree.listing(spark, opts.dest)
+    at_dest = tree.listing(spark, opts.dest, digests=opts.dedup != "off")
     names = countries(spark) if gazetteer is not None and uses_location(opts.template_for()) else None
     plan = keep(build(records, opts, done, at_dest, gazetteer, names))
     counted = stats(plan, records, opts.include_video).first().asDict()

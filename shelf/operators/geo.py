@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Cells of a thousandth of a degree share one lookup.
 CELL_SCALE = 1000.0
-#: Places up to this many are broadcast as arrays; the table of all towns has some 150,000.
+#: Places that are sent to the workers at a time; the table of all towns has some 150,000.
 BROADCAST_PLACES = 2_000_000
 
 
@@ -45,19 +46,29 @@ def nearest(points: DataFrame, gazetteer: DataFrame, key: str = "cell") -> DataF
 
     No wrap at the antimeridian; ties go to the smallest ``ord``. Distances are taken in
     blocks against latitude-sorted arrays of the places and widen outwards until no nearer
-    place can follow. The gazetteer's size is checked; one that is too large to broadcast
-    is refused rather than cross joined.
+    place can follow. A gazetteer too large to send whole is dealt into parts by a hash of
+    ``ord``; the points meet each part, and the nearest answer of all parts is taken.
     """
-    places = gazetteer.where("lat is not null and lon is not null").select("lat", "lon", "ord").limit(BROADCAST_PLACES + 1).toPandas()
-    if len(places) > BROADCAST_PLACES:
-        raise ValueError(f"a gazetteer of over {BROADCAST_PLACES} places is not supported")
-    places = places.sort_values(["lat", "ord"], kind="stable")
+    places = gazetteer.where("lat is not null and lon is not null").select("lat", "lon", "ord")
+    parts = -(-places.count() // BROADCAST_PLACES)
+    if parts <= 1:
+        return _nearest_of(points, places, key).drop("apart")
+    # half of a part's size is kept free, so that uneven parts stay within the bound
+    parts = 2 * parts
+    found = [_nearest_of(points, places.where(F.pmod(F.xxhash64("ord"), F.lit(parts)) == k), key) for k in range(parts)]
+    answers = reduce(DataFrame.unionByName, found).where("ord is not null").groupBy(key).agg(F.min_by("ord", F.struct("apart", "ord")).alias("ord"))
+    return points.select(key).join(answers, key, "left")
+
+
+def _nearest_of(points: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
+    """``key, ord, apart`` of the nearest of some places, which the driver reads."""
+    places = gazetteer.toPandas().sort_values(["lat", "ord"], kind="stable")
     lat, lon, num = (places[c].to_numpy() for c in ("lat", "lon", "ord"))
     lat, lon = lat.astype(np.float32), lon.astype(np.float32)
 
-    def one(y: np.float32, x: np.float32) -> int | None:
+    def one(y: np.float32, x: np.float32) -> tuple[int | None, float | None]:
         if not len(lat):
-            return None
+            return None, None
         mid, width = int(np.searchsorted(lat, y)), 64
         while True:
             a, b = max(0, mid - width), min(len(lat), mid + width)
@@ -65,17 +76,17 @@ def nearest(points: DataFrame, gazetteer: DataFrame, key: str = "cell") -> DataF
             best = d.min()
             done = (a == 0 or (y - lat[a - 1]) ** 2 > best) and (b == len(lat) or (lat[b] - y) ** 2 > best)
             if done or (a == 0 and b == len(lat)):
-                return int(num[a:b][d == best].min())
+                return int(num[a:b][d == best].min()), float(best)
             width *= 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, xs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            found = pa.array([one(np.float32(y), np.float32(x)) for y, x in zip(ys, xs, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "ord"])
+            found = [one(np.float32(y), np.float32(x)) for y, x in zip(ys, xs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=[key, "ord", "apart"])
 
     kind = points.schema[key].dataType.simpleString()
-    return points.select(key, "gps.lat", "gps.lon").mapInArrow(run, f"{key} {kind}, ord long")
+    return points.select(key, "gps.lat", "gps.lon").mapInArrow(run, f"{key} {kind}, ord long, apart double")
 
 
 def countries(spark: SparkSession) -> DataFrame:

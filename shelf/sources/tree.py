@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,6 +62,7 @@ class TreeReader(DataSourceReader):
         self.follow = options.get("followsymlinks", "false") == "true"
         self.sidecars = options.get("includesidecars", "true") == "true"
         self.parts = int(options.get("partitions", "16"))
+        self.digests = options.get("digests", "true") == "true"
 
     def partitions(self) -> list[Folders]:
         """Folders dealt out in turn; a missing root has none. Loops are entered once."""
@@ -100,27 +101,25 @@ class TreeReader(DataSourceReader):
                     if kind and (self.sidecars or kind != "sidecar"):
                         yield self._extracted(e, path, kind)
 
-    @staticmethod
-    def _listed(e: os.DirEntry, path: str) -> Iterator[tuple]:
+    def _listed(self, e: os.DirEntry, path: str) -> Iterator[tuple]:
         if e.is_dir(follow_symlinks=False):
             yield path, None, True, None
             return
         try:
             size = e.stat(follow_symlinks=False).st_size
             regular = stat.S_ISREG(e.stat(follow_symlinks=False).st_mode)
-            yield path, size, False, file_digest(e.path) if regular else None
+            yield path, size, False, file_digest(e.path) if regular and self.digests else None
         except OSError:
             yield path, None, False, None
 
-    @staticmethod
-    def _extracted(e: os.DirEntry, path: str, kind: str) -> tuple:
+    def _extracted(self, e: os.DirEntry, path: str, kind: str) -> tuple:
         none = (None,) * 8
         try:
             with open(e.path, "rb") as f:
                 facts, mark = exif.Facts(), os.fstat(f.fileno())
                 start = f.read(HEAD)
-                digest = hashlib.sha256(start)
-                while block := f.read(CHUNK):
+                digest = hashlib.sha256(start) if self.digests else None
+                while digest and (block := f.read(CHUNK)):
                     digest.update(block)
                 if kind in ("image", "raw"):
                     facts = exif.read(exif.View(f))
@@ -130,7 +129,7 @@ class TreeReader(DataSourceReader):
             return (path, None, kind, *none, None, None, None, f"unreadable: {err.strerror or err}")
         birth = getattr(mark, "st_birthtime", None)
         given = (facts.original, facts.create, facts.modify, facts.offset, facts.make, facts.model, facts.gps)
-        return (path, mark.st_size, kind, start[:HEAD], *given, _instant(mark.st_mtime), _instant(birth), digest.hexdigest(), None)
+        return (path, mark.st_size, kind, start[:HEAD], *given, _instant(mark.st_mtime), _instant(birth), digest.hexdigest() if digest else None, None)
 
 
 class TreeSource(DataSource):
@@ -158,7 +157,7 @@ def scan(spark: SparkSession, opts: Options) -> tuple[DataFrame, DataFrame]:
     from shelf.storage import keep
 
     register(spark)
-    read = spark.read.format("shelf_tree").option("root", opts.source).option("mode", "extract")
+    read = _reader(spark, opts.source, "extract", opts.dedup != "off")
     raw = read.option("followsymlinks", str(opts.follow_symlinks).lower()).option("includesidecars", str(opts.include_sidecars).lower()).load()
     now = opts.now_year
     ok = signature_matches(F.col("kind"), F.col("head"))
@@ -180,9 +179,19 @@ def scan(spark: SparkSession, opts: Options) -> tuple[DataFrame, DataFrame]:
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("rel_path", "error")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Everything below the destination, folders too; a missing root is empty."""
+def _reader(spark: SparkSession, root: str, mode: str, digests: bool) -> DataFrameReader:
+    """A reader of a tree in four tasks for each core; files are read whole for digests only."""
+    parts = max(16, 4 * spark.sparkContext.defaultParallelism)
+    read = spark.read.format("shelf_tree").option("root", root).option("mode", mode)
+    return read.option("partitions", parts).option("digests", str(digests).lower())
+
+
+def listing(spark: SparkSession, root: str, digests: bool = True) -> DataFrame:
+    """Everything below the destination, folders too; a missing root is empty.
+
+    Without ``digests`` no file is opened.
+    """
     from shelf.storage import keep
 
     register(spark)
-    return keep(spark.read.format("shelf_tree").option("root", str(Path(root))).option("mode", "list").load())
+    return keep(_reader(spark, str(Path(root)), "list", digests).load())
