@@ -56,12 +56,12 @@ def test_stats_of_empty_input(spark):
 
 def _tree(root):
     files = {
-        "cam/dated.jpg": jpeg(original="2021:06:07 10:11:12"),
-        "cam/dated_copy.jpg": jpeg(original="2021:06:07 10:11:12"),
-        "cam/week.jpg": jpeg(original="2026:12:31 23:59:59"),
-        "raw/gps.jpg": jpeg(original="2026:05:06 07:08:09", gps=(45.815, 15.9819)),
-        "raw/gps.xmp": b"<x/>",
-        "misc/clip.mov": b"\0\0\0\x18ftypqt  ",
+        "phone/2/lake.jpg": jpeg(original="2008:02:29 06:30:00"),
+        "phone/2/lake again.jpg": jpeg(original="2008:02:29 06:30:00"),
+        "phone/eve.jpg": jpeg(original="2015:12:24 18:00:01"),
+        "walk/fjord.jpg": jpeg(original="2012:09:03 11:45:10", gps=(60.393, 5.3242)),
+        "walk/fjord.xmp": b"<x/>",
+        "films/boat.mov": b"\0\0\0\x18ftypqt  ",
     }
     for path, data in files.items():
         os.makedirs(os.path.dirname(root / path), exist_ok=True)
@@ -78,18 +78,18 @@ def test_end_to_end(spark, tmp_path):
     code, s = cli.run(spark, opts, form="jsonl", out=out)
     assert code == 0 and (s["copied"], s["duplicates"], s["unshippable"], s["failed"]) == (4, 1, 1, 0)
     found = {str(p.relative_to(dest)) for p in dest.rglob("*") if p.is_file()}
-    assert found == {"2021/06-June/dated.jpg", "2026/12-December/week.jpg", "2026/05-May/gps.jpg", "2026/05-May/gps.xmp"}
+    assert found == {"2008/02-February/lake again.jpg", "2015/12-December/eve.jpg", "2012/09-September/fjord.jpg", "2012/09-September/fjord.xmp"}
     lines = [json.loads(x) for x in out.getvalue().splitlines()]
     twin = [x for x in lines if x.get("reason") == "duplicate-of-source"][0]
-    assert twin["duplicate_of"] == "cam/dated.jpg" and "error" not in twin
+    assert twin["duplicate_of"] == "phone/2/lake again.jpg" and "error" not in twin
     code, s = cli.run(spark, opts, quiet=True)
     assert code == 0 and s["copied"] == 0 and s["skipped"] == 5  # a second run has nothing to do
     code, s = cli.run(spark, Options(**{**opts.__dict__, "resume": str(tmp_path / "journal")}), quiet=True)
     assert s["resumed"] == 4
-    places = spark.createDataFrame([(0, 45.8, 15.98, "HR", "Grad Zagreb", "Zagreb")], "ord long, lat float, lon float, cc string, region string, name string")
+    places = spark.createDataFrame([(0, 60.4, 5.32, "NO", "Vestland", "Bergen")], "ord long, lat float, lon float, cc string, region string, name string")
     moved = Options(source=str(source), dest=str(tmp_path / "two"), location="city", mode="move", now_year=2030)
     code, s = cli.run(spark, moved, places, quiet=True)
-    assert s["moved"] == 4 and (tmp_path / "two/2026/05-May/Croatia/Grad Zagreb/Zagreb/gps.xmp").exists() and not (source / "raw/gps.jpg").exists()
+    assert s["moved"] == 4 and (tmp_path / "two/2012/09-September/Norway/Vestland/Bergen/fjord.xmp").exists() and not (source / "walk/fjord.jpg").exists()
 
 
 def test_failures_are_reported(spark, tmp_path):
